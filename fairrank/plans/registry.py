@@ -17,6 +17,7 @@ from fairrank.functions.columns import round_doubles
 from fairrank.plans import fixtures
 from fairrank.plans.pipeline import canonical_tables, infer_cutoffs, prepared_interactions
 from fairrank.operators.interactions import load_interactions
+from fairrank.sources.tables import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -56,7 +57,9 @@ class Context:
 
     @property
     def history(self) -> DataFrame:
-        return load_interactions(self.collapsed, None)
+        """Collapsed interactions, materialised once per directory."""
+        return self._memo("history", lambda: materialize(
+            load_interactions(self.collapsed, None), self.sf_dir, "interactions_collapsed"))
 
     @property
     def cutoffs(self):
@@ -86,5 +89,5 @@ def query(name: str):
 
 def queries() -> dict[str, QueryFn]:
     # importing the query modules fills QUERIES
-    from fairrank.plans import queries_core  # noqa: F401
+    from fairrank.plans import queries_core, queries_reco  # noqa: F401
     return dict(QUERIES)
