@@ -54,10 +54,11 @@ def history_table(domain: dict[str, DataFrame]) -> DataFrame:
 
 
 def infer_cutoffs_frame(interactions: DataFrame, label_days: int = 30) -> DataFrame:
-    """L2 as a one-row frame: test_end = max - D, val_end = max - 2D, train_end = max - 3D."""
+    """L2 as a one-row frame: test_end = max - D, val_end = max - 2D,
+    train_end = max - 3D, each truncated to midnight."""
     mx = interactions.agg(F.max("txn_date").alias("mx"))
     return mx.select(*[
-        F.to_date(F.col("mx") - F.expr(f"INTERVAL {k * label_days} DAYS")).alias(name)
+        F.to_date(F.col("mx") - F.expr(f"INTERVAL {k * label_days} DAYS")).cast("timestamp_ntz").alias(name)
         for name, k in (("train_end", 3), ("val_end", 2), ("test_end", 1))])
 
 
@@ -66,5 +67,6 @@ def infer_cutoffs(interactions: DataFrame, label_days: int = 30) -> Cutoffs:
     row = infer_cutoffs_frame(interactions, label_days).first()
     if row is None or row["test_end"] is None:
         raise ValueError("Unable to infer cutoffs: txn_date has no valid values.")
-    fmt = _dt.date.isoformat
+    def fmt(v):
+        return v.date().isoformat() if isinstance(v, _dt.datetime) else v.isoformat()
     return Cutoffs(fmt(row["train_end"]), fmt(row["val_end"]), fmt(row["test_end"]))
