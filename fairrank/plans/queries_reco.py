@@ -34,8 +34,13 @@ def _split(ctx: Context):
 
 
 def _run(ctx: Context):
-    return ctx._memo("reco_test", lambda: run_recommendations(
-        ctx.history, test_cfg(ctx), RecommendCfg(top_k=TOP_K), split=_split(ctx)))
+    """R9 outputs written as stage tables (scored candidates, base and fair lists)."""
+    def build():
+        r = run_recommendations(ctx.history, test_cfg(ctx), RecommendCfg(top_k=TOP_K), split=_split(ctx))
+        r.scored = materialize(r.scored, ctx.sf_dir, "reco_test_scored")
+        r.client_groups = materialize(r.client_groups, ctx.sf_dir, "reco_test_client_groups")
+        return r.relist(lambda name, df: materialize(df, ctx.sf_dir, f"reco_test_{name}"))
+    return ctx._memo("reco_test", build)
 
 
 # --- splits / labels ----------------------------------------------------------

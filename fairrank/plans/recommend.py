@@ -21,6 +21,16 @@ class RecommendationRun:
     split: DataFrame
     cfg: RecommendCfg
 
+    def relist(self, sink=None) -> "RecommendationRun":
+        """Recompute base / fair lists from ``scored`` (optionally passing each
+        through ``sink(name, df)``, e.g. to write them as stage tables)."""
+        sink = sink or (lambda name, df: df)
+        self.base = sink("base", scoring.top_k(self.scored, self.cfg.top_k, "hybrid_score"))
+        self.fair = sink("fair", fairness.rerank_for_exposure_balance(
+            self.scored, self.client_groups, self.cfg.group_col, self.cfg.top_k, self.cfg.lambda_fairness,
+            "hybrid_score", "Category", self.cfg.fairness_groups))
+        return self
+
     def audit(self, which: str = "pre", focus: bool = False):
         """X5 report of the base (pre) or re-ranked (post) lists; ``focus``
         restricts to the configured fairness groups."""
