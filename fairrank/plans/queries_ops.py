@@ -182,3 +182,47 @@ def q_thresholds(ctx: Context):
 
 
 _ = LABEL_DAYS
+
+
+# --- ML ------------------------------------------------------------------------------
+def _features(df):
+    return scoring.select_feature_columns(df)
+
+
+def _split_at(ctx: Context, name: str):
+    from fairrank.config import SplitCfg
+    from fairrank.operators import labels
+    from fairrank.plans.queries_reco import NEG_PER_POS
+    from fairrank.sources.tables import materialize
+    cfg = SplitCfg(name, ctx.cutoffs.for_split(name), LABEL_DAYS, NEG_PER_POS, "pop_in_prefcat", "binary")
+    return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg),
+                                                          ctx.sf_dir, f"split_{name}"))
+
+
+@query("grouped_folds")
+def q_folds(ctx: Context):
+    """M9: 3 grouped folds over the test split (property: a client never spans folds)."""
+    from fairrank.operators import ml
+    return ml.grouped_folds(_split(ctx).select("ClientID", "ProductID", "label"), 3)
+
+
+@query("feature_importance")
+def q_importance(ctx: Context):
+    """M7: boosted-tree feature ranking on the test split."""
+    from fairrank.operators import ml
+    s = _split(ctx)
+    return ml.feature_ranking(s, _features(s))
+
+
+@query("model_leaderboard")
+def q_leaderboard(ctx: Context):
+    """M1-M6: LR / RF / GBT fitted on the train split (balanced weights),
+    selected on val PR-AUC, scored on test.  Registered with reduced tree
+    counts (RF 50 trees depth 10, GBT 30 rounds depth 5) to keep the
+    benchmark short; the library defaults follow the reference settings."""
+    from fairrank.operators import ml
+    train, val, test = _split_at(ctx, "train"), _split_at(ctx, "val"), _split(ctx)
+    board, _ = ml.train_and_select(train, val, test, _features(train),
+                                   params={"rf": {"numTrees": 50, "maxDepth": 10},
+                                           "gbt": {"maxIter": 30, "maxDepth": 5}})
+    return board
