@@ -53,23 +53,24 @@ def _zmoney(c: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # F1-F6 user features
 # ---------------------------------------------------------------------------
-PROFILE_DIMS = {
-    # dimension -> value expression (NULL values are dropped)
-    "product": F.col("ProductID").cast("string"),
-    "store": F.col("StoreID").cast("string"),
-    "category": F.col("Category"),
-    "family1": F.col("FamilyLevel1"),
-    "store_country": F.col("StoreCountry"),
-    "client_country": F.col("ClientCountry"),
-    "month": F.month("txn_date").cast("string"),
-    "dow": F.weekday("txn_date").cast("string"),
-}
+def profile_dims() -> dict[str, Column]:
+    """dimension -> value expression (NULL values are dropped)."""
+    return {
+        "product": F.col("ProductID").cast("string"),
+        "store": F.col("StoreID").cast("string"),
+        "category": F.col("Category"),
+        "family1": F.col("FamilyLevel1"),
+        "store_country": F.col("StoreCountry"),
+        "client_country": F.col("ClientCountry"),
+        "month": F.month("txn_date").cast("string"),
+        "dow": F.weekday("txn_date").cast("string"),
+    }
 
 
 def client_profile_counts(df: DataFrame, key: str = "ClientID",
                           dims: dict[str, Column] | None = None) -> DataFrame:
     """(key, dim, val, n): row counts per key and value of every dimension."""
-    dims = dims or PROFILE_DIMS
+    dims = dims or profile_dims()
     arr = F.array(*[F.struct(F.lit(d).alias("dim"), v.cast("string").alias("val"))
                     for d, v in dims.items()])
     return (df.select(key, F.inline(arr))
