@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairrank.functions.columns import round_doubles
 from fairrank.plans import fixtures
-from fairrank.plans.pipeline import canonical_tables, infer_cutoffs, prepared_interactions
+from fairrank.plans.pipeline import canonical_tables, infer_cutoffs
 from fairrank.operators.interactions import load_interactions
 from fairrank.sources.tables import materialize
 
@@ -45,7 +45,16 @@ class Context:
 
     @property
     def prepared(self):
-        return self._memo("prepared", lambda: prepared_interactions(self.domain))
+        """(interactions, collapsed, metrics); the interactions table is
+        written once as a stage table and the collapse reads it back."""
+        def build():
+            from fairrank.operators.dedupe import collapse_duplicates
+            from fairrank.plans.pipeline import interactions_from_canonical
+            raw = materialize(interactions_from_canonical(self.canonical, validate=False),
+                              self.sf_dir, "interactions")
+            collapsed, metrics = collapse_duplicates(raw, "c_p_d_s")
+            return raw, collapsed, metrics
+        return self._memo("prepared", build)
 
     @property
     def interactions(self) -> DataFrame:
