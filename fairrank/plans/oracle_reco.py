@@ -437,3 +437,52 @@ def _():
     return """SELECT CASE WHEN count(*) FILTER (WHERE label = 1) > 0
                      THEN count(*) FILTER (WHERE label = 0) / CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE)
                      ELSE 1.0 END AS scale_pos_weight FROM ds"""
+
+
+_BLOCKS = {
+    "u": ["u_txns", "u_qty_sum", "u_eur_sum", "u_recency_days", "u_basket_mean", "u_basket_median",
+          "u_n_products", "u_n_categories", "u_n_stores", "u_pref_store_country", "u_pref_client_country",
+          "u_top_category", "u_top_family_lvl1", "u_month_entropy", "u_dow_entropy", "u_customer_age_days"],
+    "p": ["p_txns", "p_buyers", "p_qty_sum", "p_eur_sum", "p_qty_30d", "p_eur_30d", "p_txns_30d", "p_buyers_30d",
+          "p_qty_60d", "p_eur_60d", "p_txns_60d", "p_buyers_60d", "p_eur_per_qty", "p_product_age_days",
+          "p_days_since_sold"],
+    "cp": ["cp_txns", "cp_qty_sum", "cp_eur_sum", "cp_days_since_last_cp", "cp_tenure_days"],
+    "cat": ["cat_txns", "cat_buyers", "cat_qty", "cat_eur", "cat_txn_share", "cat_eur_per_txn"],
+}
+
+
+@reco("split_validation", ["rows", "clients", "products", "positives", "negatives", "pos_ratio", "label_days",
+                           "pos_not_in_window", "neg_seen_violations", "clients_checked", "target_mismatch_pairs",
+                           "u_null_share", "p_null_share", "cp_null_share", "cat_null_share", "pair_duplicates"])
+def _():
+    shares = ",\n".join(
+        "(" + " + ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)" for c in cols) + f") / {len(cols)}"
+        f" AS {b}_null_share" for b, cols in _BLOCKS.items())
+    return f"""
+    WITH v AS (
+      SELECT CAST(count(*) AS DOUBLE) AS rows, CAST(count(DISTINCT ClientID) AS DOUBLE) AS clients,
+             CAST(count(DISTINCT ProductID) AS DOUBLE) AS products,
+             CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS positives,
+             CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS negatives,
+             CAST(count(*) FILTER (WHERE label = 1 AND target <> 1) AS DOUBLE) AS target_mismatch_pairs,
+             {shares}
+      FROM ds),
+    x AS (SELECT
+      (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT ClientID, ProductID FROM ds WHERE label = 1) p
+        WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.ClientID = p.ClientID AND w.ProductID = p.ProductID))
+        AS pos_not_in_window,
+      (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT ClientID, ProductID FROM ds WHERE label = 0) n
+        WHERE EXISTS (SELECT 1 FROM hh h WHERE h.ClientID = n.ClientID AND h.ProductID = n.ProductID))
+        AS neg_seen_violations,
+      (SELECT CAST(count(DISTINCT ClientID) AS DOUBLE) FROM ds WHERE label = 0) AS clients_checked,
+      (SELECT CAST(coalesce(sum(c), 0) AS DOUBLE) FROM (SELECT count(*) AS c FROM ds GROUP BY ClientID, ProductID
+                                                       HAVING count(*) > 1)) AS pair_duplicates)
+    SELECT 'test' AS split, strftime((SELECT test_end FROM cutoffs), '%Y-%m-%d') AS cutoff, 30.0 AS label_days,
+           'binary' AS pos_target, rows, clients, products, positives, negatives,
+           positives / greatest(rows, 1.0) AS pos_ratio,
+           pos_not_in_window = 0 AS pos_in_window_ok, pos_not_in_window,
+           neg_seen_violations = 0 AS neg_not_seen_ok, neg_seen_violations, clients_checked,
+           target_mismatch_pairs = 0 AS target_check_ok, target_mismatch_pairs,
+           u_null_share, p_null_share, cp_null_share, cat_null_share,
+           pair_duplicates = 0 AS pair_unique_ok, pair_duplicates
+    FROM v CROSS JOIN x"""
