@@ -10,7 +10,7 @@ text hash; position), after their bytes were compared with the first occurrence'
 Data flow: chunk signatures without texts are grouped globally (pre-aggregated, so a chunk held
 by a third of the documents is one row per task); only chunks that repeat meet the text of
 their first occurrence; each document then gets its own list of removals.  Documents are
-shuffled twice, never gathered; a skewed side of any join can be split by AQE.
+shuffled once, never gathered; a skewed side of any join can be split by AQE.
 
 Defined results: null text stays null, empty text stays empty; rows equal in id and text are
 one document (each gets the same result, nothing is removed only because the row repeats);
@@ -74,14 +74,17 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       F.col("a.pos").alias("_fpos")))
     firsts = staged(firsts, "first-places")
 
-    # the text of each first occurrence: a document's list is bounded by its own chunks
+    # the text of each first occurrence: a document's list is bounded by its own chunks.  Both
+    # joins with documents read all columns (_all), so that Spark shuffles documents once and
+    # reuses that exchange
     wanted = firsts.groupBy("_fid", "_fth").agg(F.collect_list(F.struct("_h", "_h2", "_fpos")).alias("_w"))
-    found = own.join(wanted, _same_document("_id", "_th", "_fid", "_fth")).select("_fid", "_fth", F.explode(F.expr(
-        f"transform(array({chunks_sql('_t')}), c -> transform(_w, w -> named_struct("
-        "'h', w._h, 'h2', w._h2, 'p', w._fpos, 's', get(c, w._fpos).s)))[0]")).alias("_f"))
+    found = flat.join(wanted, _same_document(id_at, "_th", "_fid", "_fth")).select(
+        "_fid", "_fth", F.xxhash64(*flat.columns).alias("_all"), F.explode(F.expr(
+            f"transform(array({chunks_sql(text)}), c -> transform(_w, w -> named_struct("
+            "'h', w._h, 'h2', w._h2, 'p', w._fpos, 's', get(c, w._fpos).s)))[0]")).alias("_f"))
     texts = found.groupBy(F.col("_f.h").alias("_h"), F.col("_f.h2").alias("_h2")).agg(
         F.first("_fid").alias("_fid"), F.first("_fth").alias("_fth"), F.first("_f.p").alias("_fpos"),
-        F.first("_f.s").alias("_s"))
+        F.first("_f.s").alias("_s"), F.max("_all").alias("_all")).where("_all is not null")
 
     # every other occurrence, with the bytes it must equal
     later = sig.join(texts, ["_h", "_h2"]).where(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairrank.llm import (ann, chat, decontaminate, html_extract, line_dedup, mixing, quality, simhash,
                           substring_dedup, url_filter)
-from fairrank.llm.common import read_table
+from fairrank.llm.common import pick, read_table
 from fairrank.llm.oracle import ORACLE
 
 
@@ -17,8 +17,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "text", "pieces_removed", "words_removed")
+    return substring_dedup.dedup_substrings(pick(read_table(spark, sf_dir, "documents"), ["doc_id", "text"]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +43,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "text", "lines_removed", "chunks_removed")
+    return line_dedup.dedup_lines(pick(read_table(spark, sf_dir, "documents"), ["doc_id", "text"]))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
