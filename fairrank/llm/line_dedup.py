@@ -30,6 +30,8 @@ from fairrank.llm.common import positional, staged
 BASE = 1_000_003
 MODULUS = 2_147_483_647
 MIN_LINES = 2
+#: Occurrences of one chunk that may meet its text in one place.
+HOT_ROWS = 50_000
 
 # transform(array(value), name -> ...)[0] binds a value that is used many times
 _CHUNKS = r"""
@@ -69,27 +71,29 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  "chunk-signatures")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_th").alias("th"),
                      F.col("_pos").alias("pos"))
-    firsts = (sig.groupBy("_h", "_h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-              .select("_h", "_h2", F.col("a.id").alias("_fid"), F.col("a.th").alias("_fth"),
-                      F.col("a.pos").alias("_fpos")))
+    firsts = (sig.groupBy("_h", "_h2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
+              .where("a != b").select("_h", "_h2", F.col("a.id").alias("_fid"), F.col("a.th").alias("_fth"),
+                                      F.col("a.pos").alias("_fpos"), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_salts")))
     firsts = staged(firsts, "first-places")
+    is_first = _same_document("_id", "_th", "_fid", "_fth") & (F.col("_pos") == F.col("_fpos"))
+    # all other occurrences; those of a hot chunk are spread over salts
+    later = staged(sig.join(firsts, ["_h", "_h2"]).where(~is_first).select(
+        "_id", "_th", "_pos", "_h", "_h2", F.pmod(F.hash("_id", "_th", "_pos"), "_salts").alias("_salt")), "later-places")
 
     # the text of each first occurrence: a document's list is bounded by its own chunks.  Both
     # joins with documents read all columns (_all), so that Spark shuffles documents once and
     # reuses that exchange
-    wanted = firsts.groupBy("_fid", "_fth").agg(F.collect_list(F.struct("_h", "_h2", "_fpos")).alias("_w"))
+    wanted = firsts.groupBy("_fid", "_fth").agg(F.collect_list(F.struct("_h", "_h2", "_fpos", "_salts")).alias("_w"))
     found = flat.join(wanted, _same_document(id_at, "_th", "_fid", "_fth")).select(
-        "_fid", "_fth", F.xxhash64(*flat.columns).alias("_all"), F.explode(F.expr(
+        F.xxhash64(*flat.columns).alias("_all"), F.explode(F.expr(
             f"transform(array({chunks_sql(text)}), c -> transform(_w, w -> named_struct("
-            "'h', w._h, 'h2', w._h2, 'p', w._fpos, 's', get(c, w._fpos).s)))[0]")).alias("_f"))
+            "'h', w._h, 'h2', w._h2, 'n', w._salts, 's', get(c, w._fpos).s)))[0]")).alias("_f"))
     texts = found.groupBy(F.col("_f.h").alias("_h"), F.col("_f.h2").alias("_h2")).agg(
-        F.first("_fid").alias("_fid"), F.first("_fth").alias("_fth"), F.first("_f.p").alias("_fpos"),
-        F.first("_f.s").alias("_s"), F.max("_all").alias("_all")).where("_all is not null")
+        F.first("_f.s").alias("_s"), F.first("_f.n").alias("_n"), F.max("_all").alias("_all")).where("_all is not null")
+    texts = texts.select("_h", "_h2", "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
 
-    # every other occurrence, with the bytes it must equal
-    later = sig.join(texts, ["_h", "_h2"]).where(
-        ~(_same_document("_id", "_th", "_fid", "_fth") & (F.col("_pos") == F.col("_fpos"))))
-    drops = later.groupBy(F.col("_id").alias("_did"), F.col("_th").alias("_dth")).agg(
+    # every other occurrence gets the bytes it must equal
+    drops = later.join(texts, ["_h", "_h2", "_salt"]).groupBy(F.col("_id").alias("_did"), F.col("_th").alias("_dth")).agg(
         F.map_from_entries(F.collect_set(F.struct("_pos", "_s"))).alias("_drop"))
 
     joined = flat.join(drops, _same_document(id_at, "_th", "_did", "_dth"), "left")
