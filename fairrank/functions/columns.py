@@ -47,15 +47,6 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(col(c).cast("decimal(18,2)")).cast("double")
 
 
-def zero_sum(c: str | Column) -> Column:
-    """pandas-style sum: all-NULL group sums to 0."""
-    return F.coalesce(F.sum(col(c)), F.lit(0))
-
-
-def zero_money_sum(c: str | Column) -> Column:
-    return F.coalesce(money_sum(c), F.lit(0.0))
-
-
 def map_values(c: str | Column, mapping: Mapping[str, str], keep_unmapped: bool = True) -> Column:
     """Value replacement; unmapped values are kept (or NULLed), NULL stays NULL."""
     c = col(c)
@@ -68,10 +59,6 @@ def map_values(c: str | Column, mapping: Mapping[str, str], keep_unmapped: bool
     return expr.otherwise(c if keep_unmapped else F.lit(None))
 
 
-def null_to_unknown(c: str | Column, unknown: str = "UNKNOWN") -> Column:
-    return F.coalesce(col(c).cast("string"), F.lit(unknown))
-
-
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
@@ -93,16 +80,3 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
-
-
-def minmax_normalize(df: DataFrame, src: str, out: str) -> DataFrame:
-    """(x - min) / (max - min) over the whole frame; 0 when max <= min.
-
-    The min/max is a one-row aggregate joined back as a broadcast scalar, so
-    the normalisation is a single extra pass and never a global sort."""
-    stats = df.agg(F.min(src).alias("__lo"), F.max(src).alias("__hi"))
-    return (df.crossJoin(F.broadcast(stats))
-              .withColumn(out, F.when(F.col("__hi") > F.col("__lo"),
-                                      (F.col(src) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
-                                .otherwise(F.lit(0.0)))
-              .drop("__lo", "__hi"))

@@ -5,6 +5,7 @@ J1-J4, Q1, C8, C11, C22, S4.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,10 @@ def apply_cutoff(df: DataFrame, cutoff: str | None, col: str = "txn_date") -> Da
     predicate is a literal comparison, so it reaches the parquet scan."""
     if not cutoff:
         return df
-    ts = F.lit(cutoff).try_cast("timestamp_ntz")
-    if df.sparkSession.range(1).select(ts.isNull().alias("bad")).first()["bad"]:
-        raise ValueError(f"Invalid cutoff date: {cutoff}")
+    try:
+        _dt.datetime.fromisoformat(str(cutoff))
+    except ValueError as e:
+        raise ValueError(f"cutoff {cutoff!r} is not an ISO date or timestamp") from e
     return df.where(F.col(col) < F.lit(cutoff).cast("timestamp_ntz"))
 
 

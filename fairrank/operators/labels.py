@@ -48,7 +48,7 @@ def split_by_dates(interactions: DataFrame, train_end: str, val_end: str,
     else:
         df, te = interactions, _ts(test_end)
     if not (train_end < val_end and (test_end is None or val_end < test_end)):
-        raise ValueError("Ensure train_end < val_end < test_end")
+        raise ValueError(f"split dates out of order: {train_end}, {val_end}, {test_end}")
     t = F.col("txn_date")
     split = (F.when(t <= _ts(train_end), "train")
               .when((t > _ts(train_end)) & (t <= _ts(val_end)), "val")

@@ -31,7 +31,7 @@ def prepare_top_k(recs: DataFrame, labels: DataFrame, k: int, score_col: str = "
     elif score_col in df.columns:
         order = [F.desc(score_col), F.asc("ProductID")]
     else:
-        raise ValueError(f"recommendations must contain either 'rank' or '{score_col}'")
+        raise ValueError(f"cannot order the lists: no column rank and no column {score_col}")
     w = Window.partitionBy("ClientID").orderBy(*order)
     return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 

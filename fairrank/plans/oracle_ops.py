@@ -198,10 +198,37 @@ def _():
     WITH r AS (
       SELECT c.SeedID, c.ProductID, c.co_users, c.score, c.rank,
              CASE WHEN i.FamilyLevel1 = s.FamilyLevel1 THEN 0 WHEN i.Category = s.Category THEN 1 ELSE 2 END AS tier
-      FROM cooc_ranked c LEFT JOIN catalog i ON c.ProductID = i.ProductID LEFT JOIN catalog s ON c.SeedID = s.ProductID
-      WHERE c.rank <= {N})
-    SELECT SeedID, ProductID, co_users, score, rank FROM r
-    WHERE tier = (SELECT min(tier) FROM r r2 WHERE r2.SeedID = r.SeedID)"""
+      FROM cooc_ranked c LEFT JOIN catalog i ON c.ProductID = i.ProductID LEFT JOIN catalog s ON c.SeedID = s.ProductID),
+    best AS (SELECT SeedID, min(tier) AS tier FROM r GROUP BY SeedID)
+    SELECT * FROM (SELECT SeedID, ProductID, co_users, score, CAST(row_number() OVER (PARTITION BY SeedID ORDER BY rank) AS INTEGER) AS rank
+                   FROM r JOIN best USING (SeedID, tier)) WHERE rank <= {N}"""
+
+
+@cat("cart_category_recommendations", ["score"])
+def _():
+    return """
+    WITH carts AS (SELECT DISTINCT ClientID AS cart_id, ProductID FROM win
+                   WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL),
+    agg AS (SELECT c.cart_id, r.ProductID, sum(r.score) AS score, CAST(sum(r.co_users) AS BIGINT) AS co_users
+            FROM carts c JOIN cooc_ranked r ON r.SeedID = c.ProductID AND r.rank <= 50
+            WHERE NOT EXISTS (SELECT 1 FROM carts x WHERE x.cart_id = c.cart_id AND x.ProductID = r.ProductID)
+            GROUP BY c.cart_id, r.ProductID),
+    recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY score DESC, co_users DESC, ProductID) AS k
+                            FROM agg) WHERE k <= 12),
+    cats AS (SELECT DISTINCT cart_id, Category FROM carts JOIN catalog USING (ProductID)),
+    marked AS (SELECT r.cart_id, r.ProductID, r.score, r.co_users, p.Category, c.Category IS NOT NULL AS hit
+               FROM recs r LEFT JOIN catalog p USING (ProductID)
+               LEFT JOIN cats c ON c.cart_id = r.cart_id AND c.Category = p.Category),
+    own AS (SELECT cart_id, ProductID, score, co_users, Category FROM (
+              SELECT *, bool_or(hit) OVER (PARTITION BY cart_id) AS anyhit FROM marked) WHERE hit OR NOT anyhit),
+    popular AS (SELECT p.Category, p.ProductID, CAST(count(h.ClientID) AS DOUBLE) AS score,
+                       CAST(count(DISTINCT h.ClientID) AS BIGINT) AS co_users
+                FROM hh h JOIN catalog p ON p.ProductID = h.ProductID AND p.Category = h.Category GROUP BY 1, 2),
+    fill AS (SELECT c.cart_id, p.ProductID, p.score, p.co_users, p.Category FROM cats c JOIN popular p USING (Category)
+             WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.cart_id = c.cart_id)
+               AND NOT EXISTS (SELECT 1 FROM carts x WHERE x.cart_id = c.cart_id AND x.ProductID = p.ProductID))
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cart_id ORDER BY score DESC, co_users DESC, ProductID)
+                                  AS INTEGER) AS rank FROM (SELECT * FROM own UNION ALL SELECT * FROM fill)) WHERE rank <= 12"""
 
 
 MON = """

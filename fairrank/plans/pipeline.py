@@ -47,12 +47,6 @@ def prepared_interactions(domain: dict[str, DataFrame], level: str = "c_p_d_s",
     return raw, collapsed, metrics
 
 
-def history_table(domain: dict[str, DataFrame]) -> DataFrame:
-    """The table every downstream builder reads (collapsed preferred)."""
-    _, collapsed, _ = prepared_interactions(domain)
-    return load_interactions(collapsed, None)
-
-
 def infer_cutoffs_frame(interactions: DataFrame, label_days: int = 30) -> DataFrame:
     """L2 as a one-row frame: test_end = max - D, val_end = max - 2D,
     train_end = max - 3D, each truncated to midnight."""
@@ -66,7 +60,7 @@ def infer_cutoffs(interactions: DataFrame, label_days: int = 30) -> Cutoffs:
     """L2: the three cutoffs as dates (one scalar row to the driver)."""
     row = infer_cutoffs_frame(interactions, label_days).first()
     if row is None or row["test_end"] is None:
-        raise ValueError("Unable to infer cutoffs: txn_date has no valid values.")
+        raise ValueError("no cutoffs: every txn_date is null")
     def fmt(v):
         return v.date().isoformat() if isinstance(v, _dt.datetime) else v.isoformat()
     return Cutoffs(fmt(row["train_end"]), fmt(row["val_end"]), fmt(row["test_end"]))

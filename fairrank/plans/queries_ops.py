@@ -110,10 +110,10 @@ def q_cart_recs(ctx: Context):
 
 @query("similar_to_seed")
 def q_similar(ctx: Context):
-    """Family / category fallback filter over the R10 lists."""
+    """Family / category fallback filter over all co-occurring items, then top-5."""
     hist, window = _window(ctx)
-    recs = cooccur.top_n_per(cooccur.item_cooccurrence(hist, window.select("ProductID")), "SeedID", TOP_N)
-    return cooccur.similar_to_seed(recs, _catalog(ctx)).select("SeedID", "ProductID", "co_users", "score", "rank")
+    recs = cooccur.similar_to_seed(cooccur.item_cooccurrence(hist, window.select("ProductID")), _catalog(ctx))
+    return cooccur.top_n_per(recs, "SeedID", TOP_N).select("SeedID", "ProductID", "co_users", "score", "rank")
 
 
 @query("cart_category_recommendations")
@@ -181,9 +181,6 @@ def q_thresholds(ctx: Context):
     return curves.threshold_counts(s, "label", "affinity_score")
 
 
-_ = LABEL_DAYS
-
-
 # --- ML ------------------------------------------------------------------------------
 def _features(df):
     return scoring.select_feature_columns(df)

@@ -75,11 +75,11 @@ class Context:
         return self._memo("cutoffs", lambda: infer_cutoffs(self.history))
 
 
-_CONTEXTS: dict[tuple[int, str], Context] = {}
+_CONTEXTS: dict[tuple[str, str], Context] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Context(spark, sf_dir)
     return _CONTEXTS[key]

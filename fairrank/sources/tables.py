@@ -9,13 +9,15 @@ from __future__ import annotations
 import hashlib
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fairrank.session import ensure_checkpoint_dir
 
 
 def table_root(spark: SparkSession) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "fairrank-tables")
+    # per application: two of them that share the folder never overwrite each other
+    return os.path.join(ensure_checkpoint_dir(spark), "fairrank-tables", spark.sparkContext.applicationId)
 
 
 def table_path(spark: SparkSession, namespace: str, name: str) -> str:
@@ -45,8 +47,9 @@ def write_dated(df: DataFrame, base_path: str, cutoff: str) -> None:
 
 def read_dated(spark: SparkSession, base_path: str, cutoff: str) -> DataFrame | None:
     """The cutoff's partition if it exists (partition pruning), else None."""
-    from pyspark.sql import functions as F
-    part = os.path.join(base_path, f"cutoff={cutoff}")
-    if not os.path.exists(part):
+    try:  # asked of Spark, which reaches every store
+        return spark.read.parquet(f"{base_path.rstrip('/')}/cutoff={cutoff}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(base_path).where(F.col("cutoff") == cutoff).drop("cutoff")

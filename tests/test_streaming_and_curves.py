@@ -45,3 +45,29 @@ def test_score_metrics_brute_force(spark):
     assert math.isclose(m.logloss, ll)
     t = curves.threshold_counts(df, "label", "score", partitions=3).orderBy(F.desc("score")).collect()
     assert [r.tp for r in t] == [1, 2, 3, 3, 4, 4]
+
+
+def test_curves_do_not_depend_on_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+
+    from fairrank.operators import curves
+    df = spark.range(1_200_000).select(
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0).alias("score"), F.pmod(F.hash("id"), F.lit(2)).alias("label"))
+    seen = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        seen.append(tuple(round(x, 12) for x in curves.score_metrics(df).first()))
+    spark.conf.unset("spark.sql.exchange.reuse")
+    assert seen[0] == seen[1]
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    auc = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(df.withColumn("label", F.col("label").cast("double")))
+    assert abs(auc - seen[0][0]) < 1e-9
+
+
+def test_dated_table_round_trip(spark, tmp_path):
+    from fairrank.sources import tables
+    base = str(tmp_path / "features")
+    assert tables.read_dated(spark, base, "2024-01-01") is None
+    tables.write_dated(spark.range(3), base, "2024-01-01")
+    tables.write_dated(spark.range(5), base, "2024-02-01")
+    assert tables.read_dated(spark, base, "2024-01-01").count() == 3 and tables.read_dated(spark, base, "2024-02-01").columns == ["id"]
