@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from fairrank.llm.common import pick
 
 PROJECTIONS = 64
-COLLISIONS = 58
+COLLISIONS = 56
 #: Half widths of the windows, as multiples of a projection's standard deviation.
 RADII = (0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 3.0)
 #: Vectors of a block to verify before a query may stop: at least so many, at least this share.
-CANDIDATES, SHARE = 200, 0.03
+CANDIDATES, SHARE = 500, 0.08
 BLOCK_ROWS = 16_384
 QUERY_CHUNK = 8_192
 SEED = 5
