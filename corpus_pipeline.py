@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairrank.llm import decontaminate, line_dedup, mixing, quality, simhash
-from fairrank.llm.common import read_table
+from fairrank.llm.common import positional, read_table
 from fairrank.session import ensure_checkpoint_dir
 
 
@@ -20,10 +20,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the multi-line chunks that occur earlier in the corpus."""
-    out = line_dedup.dedup_lines(docs)
-    # n_chars describes the text that is left
-    return out.select(*[F.length("text").cast("bigint").alias("n_chars") if c == "n_chars" else out[c]
-                        for c in docs.columns])
+    # n_chars describes the text that is left; without the old one, both joins of the operator
+    # read the same columns and share one exchange
+    flat, at = positional(docs)
+    rest = [f"_c{i}" for i, c in enumerate(docs.columns) if c != "n_chars"]
+    out = line_dedup.dedup_lines(flat.select(*rest), at["doc_id"], at["text"])
+    return out.select(*[F.length(at["text"]).cast("bigint") if c == "n_chars" else F.col(f"_c{i}")
+                        for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +40,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document, next to the document's other columns but its text."""
-    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source", "text")))
+    """How often the mix takes each document, next to the document's other columns but its text
+    (and but those named like a column of the mix)."""
+    own = {"doc_id", "source", "text", "size", "source_size", "target", "copies", "taken"}
+    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c.lower() not in own))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_dedup_stage), ("simhash", simhash_stage),

@@ -162,7 +162,7 @@ def test_chats(spark, tmp_path):
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
     from fairrank.llm import decontaminate, quality, simhash
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"size": F.lit("s"), "score": F.lit(0), "_th": F.lit(1)})
     frames = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         frames[name] = (docs, out := stage(spark, docs, SF))
@@ -179,4 +179,6 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert ids["simhash"] == {r.component_id for r in groups}
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert ids["decontamination"] == {r.doc_id for r in decontaminate.hits(frames["decontamination"][0], bench).where("not contaminated").collect()}
-    assert ids["mixing"] == ids["decontamination"] and rows(corpus_pipeline.run(spark, SF)) == rows(docs)
+    assert ids["mixing"] == ids["decontamination"]
+    cols = [c for c in docs.columns if c not in ("score", "_th")]
+    assert rows(corpus_pipeline.run(spark, SF).select(*cols)) == rows(docs.select(*cols))
