@@ -9,6 +9,7 @@ Only per-model metric rows (a handful of scalars) reach the driver.
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 
 from fairrank.operators.curves import score_metrics
 from fairrank.operators.ranking import group_ranking_metrics
+from fairrank.sources.tables import materialize
 
-# Reference model settings: LR (L2, balanced), RF 400 trees / min leaf 2,
-# boosted trees 600 rounds of depth 8.
+# Fixed values, the reference's model settings: LR (L2, balanced, C = 1), RF 400 trees / min leaf 2,
+# boosted trees 600 rounds of depth 8 on 0.8 of the rows and columns.
 MODEL_DEFAULTS = {
-    "logreg": {"regParam": 1.0, "elasticNetParam": 0.0, "maxIter": 200},
+    "logreg": {"C": 1.0, "elasticNetParam": 0.0, "maxIter": 100},
     "rf": {"numTrees": 400, "minInstancesPerNode": 2, "maxDepth": 30},
-    "gbt": {"maxIter": 600, "maxDepth": 8, "stepSize": 0.05},
+    "gbt": {"maxIter": 600, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
 }
+# Fixed values of the feature ranking: 300 rounds of up to 64 leaves.
+RANKING_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+                  "featureSubsetStrategy": "0.9"}
 
 
 def grouped_folds(df: DataFrame, k: int = 3, key: str = "ClientID", col: str = "fold", seed: int = 42) -> DataFrame:
@@ -49,14 +54,22 @@ def with_balance_weight(df: DataFrame, label_col: str = "label", out_col: str =
 
 
 def build_pipeline(kind: str, features: Sequence[str], label_col: str = "label", weight_col: str | None = None,
-                   seed: int = 42, **params) -> Pipeline:
-    """M1-M3: imputation + assembly (+ scaling for LR) + classifier."""
+                   seed: int = 42, total_weight: float | None = None, **params) -> Pipeline:
+    """M1-M3: imputation + assembly (+ scaling for LR) + classifier.
+
+    LR takes the inverse penalty ``C`` of a summed loss; Spark averages the
+    loss, so ``regParam`` = 1 / (C * ``total_weight``), the sum of the row
+    weights of the training data (rows, if unweighted)."""
     imputed = [f"__imp_{c}" for c in features]
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imputed),
               VectorAssembler(inputCols=imputed, outputCol="__raw", handleInvalid="keep")]
     p = {**MODEL_DEFAULTS[kind], **params}
     common = {"featuresCol": "features", "labelCol": label_col}
     if kind == "logreg":
+        if (c := p.pop("C", None)) is not None and "regParam" not in p:
+            if not total_weight:
+                raise ValueError("logreg with C needs total_weight (or give regParam)")
+            p["regParam"] = 1.0 / (c * total_weight)
         stages.append(StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True))
         clf = LogisticRegression(**common, **p)
     else:
@@ -68,13 +81,20 @@ def build_pipeline(kind: str, features: Sequence[str], label_col: str = "label",
     return Pipeline(stages=stages + [clf])
 
 
+def total_weight(df: DataFrame, weight_col: str | None = None) -> float:
+    """Sum of the row weights (rows, without a weight column)."""
+    return float(df.agg(F.sum(F.col(weight_col) if weight_col else F.lit(1))).first()[0] or 0)
+
+
 def predict_proba(model: PipelineModel, df: DataFrame, out_col: str = "proba") -> DataFrame:
     return model.transform(df).withColumn(out_col, vector_to_array("probability")[1])
 
 
 def evaluate(model: PipelineModel, df: DataFrame, label_col: str = "label", k: int = 10) -> DataFrame:
-    """E9-E12 + E7/E8 of one model on one split (one row)."""
-    pred = predict_proba(model, df).select("ClientID", "ProductID", label_col, "proba")
+    """E9-E12 + E7/E8 of one model on one split (one row).  The predictions
+    are written once, as the metrics read them several times."""
+    pred = materialize(predict_proba(model, df).select("ClientID", "ProductID", label_col, "proba"),
+                       "predictions", uuid.uuid4().hex)
     return score_metrics(pred, label_col, "proba").crossJoin(
         group_ranking_metrics(pred, k, "proba", label_col, "ClientID"))
 
@@ -88,8 +108,9 @@ def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, features
     if weight_col:
         train = with_balance_weight(train, out_col=weight_col)
     rows, models = [], {}
+    total = total_weight(train, weight_col)
     for kind in kinds:
-        m = build_pipeline(kind, features, weight_col=weight_col, **params.get(kind, {})).fit(train)
+        m = build_pipeline(kind, features, weight_col=weight_col, total_weight=total, **params.get(kind, {})).fit(train)
         models[kind] = m
         v = evaluate(m, val).select(*[F.col(c).alias(f"val_{c}") for c in
                                       ("roc_auc", "pr_auc", "logloss", "best_f1", "recall_at_k", "map_at_k")])
@@ -98,7 +119,7 @@ def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, features
     board = rows[0]
     for r in rows[1:]:
         board = board.unionByName(r)
-    board = board.cache()
+    board = materialize(board, "leaderboard", uuid.uuid4().hex)
     best = board.orderBy(F.desc(f"val_{metric}"), F.asc("model")).first()["model"]
     return board.withColumn("selected", F.col("model") == best), models[best]
 
@@ -110,25 +131,31 @@ def leaderboard_top(board: DataFrame, metric: str = "val_pr_auc", n: int = 3) ->
 
 def feature_ranking(df: DataFrame, features: Sequence[str], label_col: str = "label", **gbt_params) -> DataFrame:
     """M7: gradient-boosted-tree importances, descending."""
-    model = build_pipeline("gbt", features, label_col, **({"maxIter": 50, "maxDepth": 5} | gbt_params)).fit(df)
+    model = build_pipeline("gbt", features, label_col, **(RANKING_PARAMS | gbt_params)).fit(df)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
                                            "feature string, importance double, rank int")
 
 
-def topk_feature_curve(df: DataFrame, ranked: Sequence[str], ks: Sequence[int] = (5, 10, 20, 30, 40, 50),
+def curve_grid(n_features: int) -> list[int]:
+    """M8: every fifth k up to 50 and the number of features (all, if fewer than five)."""
+    return list(range(5, min(50, n_features) + 1, 5)) or [n_features]
+
+
+def topk_feature_curve(df: DataFrame, ranked: Sequence[str], ks: Sequence[int] | None = None,
                        folds: int = 3, kind: str = "gbt", **params) -> DataFrame:
     """M8: for each k, grouped k-fold CV of a model on the top-k features;
     mean / std (ddof=0) of PR-AUC and ROC-AUC per k; ``best`` flags argmax."""
     d = grouped_folds(df, folds)
+    if not ranked:
+        raise ValueError("no features to choose from")
     out = []
-    for k in ks:
+    for k in sorted({min(k, len(ranked)) for k in (ks or curve_grid(len(ranked)))}):
         feats = list(ranked[:k])
-        if not feats:
-            continue
         for f in range(folds):
-            m = build_pipeline(kind, feats, **params).fit(d.where(F.col("fold") != f))
+            fit_on = d.where(F.col("fold") != f)
+            m = build_pipeline(kind, feats, total_weight=total_weight(fit_on), **params).fit(fit_on)
             ev = score_metrics(predict_proba(m, d.where(F.col("fold") == f)), "label", "proba")
             out.append(ev.select(F.lit(k).alias("k"), F.lit(f).alias("fold"), "pr_auc", "roc_auc"))
     res = out[0]
@@ -157,7 +184,8 @@ def random_search(df: DataFrame, features: Sequence[str], kind: str, n_trials: i
     for t in range(n_trials):
         p = {k: rnd.choice(v) for k, v in space.items()}
         for f in range(folds):
-            m = build_pipeline(kind, features, **p).fit(d.where(F.col("fold") != f))
+            fit_on = d.where(F.col("fold") != f)
+            m = build_pipeline(kind, features, total_weight=total_weight(fit_on), **p).fit(fit_on)
             ev = score_metrics(predict_proba(m, d.where(F.col("fold") == f)), "label", "proba")
             out.append(ev.select(F.lit(t).alias("trial"), F.lit(str(p)).alias("params"), "pr_auc"))
     res = out[0]

@@ -134,6 +134,81 @@ def feature_table_checks(df: DataFrame, table: str, keys: Sequence[str],
     return row.select(F.lit(table).alias("table"), F.inline(F.array(*checks)))
 
 
+# Table -> key, columns that must be >= 0, columns that must be >= 0 or NULL.
+FEATURE_CHECKS = {
+    "user_features": (["ClientID"], ["txns", "qty_sum", "eur_sum", "recency_days", "n_products",
+                                     "customer_age_days"], ["basket_mean", "basket_median"]),
+    "product_features": (["ProductID"], ["txns", "buyers", "qty_sum", "product_age_days", "days_since_sold"],
+                         ["eur_per_qty"]),
+    "user_rfm": (["ClientID"], ["recency_days", "tenure_days", "freq_txns", "qty_sum", "eur_sum"],
+                 ["avg_basket_eur"]),
+    "client_product_recency": (["ClientID", "ProductID"], ["days_since_last_cp", "cp_tenure_days", "cp_txns",
+                                                           "cp_qty_sum", "cp_eur_sum"], []),
+    "category_features": (["ProductID"], ["cat_txns", "cat_qty", "cat_eur", "cat_buyers", "cat_txn_share"],
+                          ["cat_eur_per_txn"]),
+}
+
+
+def feature_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q10: the validators of all given feature tables (names as in FEATURE_CHECKS)."""
+    parts = [feature_table_checks(df, name, *FEATURE_CHECKS[name]) for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def feature_gates(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q11 (features stage): every feature table has rows."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(_check(
+            f"{name}_non_empty", F.col("rows") > 0, F.concat(F.lit("rows="), F.col("rows").cast("string"))))))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def interim_profile(tables: dict[str, DataFrame], top: int = 5, samples: int = 10) -> DataFrame:
+    """Q19: profile of the five canonical tables in long form (table, metric,
+    item, value, text): rows, columns and NULL % per column of each table;
+    date range, negative quantities and amounts and orphan keys of
+    transactions; stock products that do not exist; the ``top`` genders by
+    count (ties by name) and the first ``samples`` categories by name."""
+    from fairrank.operators.interactions import orphan_counts
+    none = F.lit(None).cast("string")
+
+    def line(src, table, metric, item=none, value=F.lit(None), text=none):
+        return src.select(F.lit(table).alias("table"), F.lit(metric).alias("metric"), item.alias("item"),
+                          value.cast("double").alias("value"), text.alias("text"))
+
+    parts = []
+    for name, df in tables.items():
+        parts.append(line(df.agg(F.count(F.lit(1)).alias("n")), name, "rows", value=F.col("n")))
+        parts.append(line(df.sparkSession.range(1), name, "columns", value=F.lit(len(df.columns))))
+        parts.append(line(null_percent(df), name, "null_percent", F.col("column"), F.col("null_percent")))
+    tx = tables["transactions"]
+    stats = tx.agg(F.min("SaleTransactionDate").alias("lo"), F.max("SaleTransactionDate").alias("hi"),
+                   F.count_if(F.col("Quantity") < 0).alias("Quantity"),
+                   F.count_if(F.col("SalesNetAmountEuro") < 0).alias("SalesNetAmountEuro"))
+    parts.append(line(stats, "transactions", "date_min", text=F.date_format("lo", "yyyy-MM-dd HH:mm:ss")))
+    parts.append(line(stats, "transactions", "date_max", text=F.date_format("hi", "yyyy-MM-dd HH:mm:ss")))
+    parts.append(line(_unpivot(stats, ["Quantity", "SalesNetAmountEuro"], "c", "n"), "transactions", "negative",
+                      F.col("c"), F.col("n")))
+    orphans = orphan_counts(tx, tables["clients"], tables["products"], tables["stores"], tables["stocks"])
+    for key in ("clients", "products", "stores"):
+        parts.append(line(orphans, "transactions", "orphans", F.lit(key), F.col(f"orphan_{key}")))
+    parts.append(line(orphans, "stocks", "orphans", F.lit("products"), F.col("stocks_products_not_in_products")))
+    genders = (tables["clients"].groupBy("ClientGender").agg(F.count(F.lit(1)).alias("n"))
+               .orderBy(F.desc("n"), F.asc_nulls_last("ClientGender")).limit(top))
+    parts.append(line(genders, "clients", "gender", F.col("ClientGender"), F.col("n")))
+    categories = tables["products"].select("Category").dropna().distinct().orderBy("Category").limit(samples)
+    parts.append(line(categories, "products", "category", F.col("Category")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def interactions_gates(df: DataFrame) -> DataFrame:
     """Q11 (interactions stage): rows > 0, key NULL ratio < 1 %, valid dates > 95 %."""
     a = df.agg(F.count(F.lit(1)).alias("rows"),

@@ -1,6 +1,7 @@
 """Oracle SQL: quality reports, catalog, co-occurrence, monitoring, curves."""
 
-from fairrank.plans.oracle import INTERACTION_COLS, oracle
+from fairrank.plans import oracle_core  # noqa: F401  (registers product_features)
+from fairrank.plans.oracle import INTERACTION_COLS, ORACLE, oracle, with_base
 from fairrank.plans.oracle_reco import RECO, reco
 
 N = 5
@@ -93,29 +94,124 @@ def _checks(table, src, keys, nonneg, nonneg_null):
     return rows
 
 
+RFM = """(SELECT ClientID, count(txn_date) AS freq_txns, coalesce(sum(Quantity), 0) AS qty_sum,
+          coalesce(sum(CAST(SalesNetAmountEuro AS DECIMAL(18,2))), 0) AS eur_sum,
+          greatest(date_sub('day', max(txn_date), (SELECT test_end FROM cutoffs)), 0) AS recency_days,
+          greatest(date_sub('day', min(txn_date), max(txn_date)), 0) AS tenure_days,
+          CAST(coalesce(sum(CAST(SalesNetAmountEuro AS DECIMAL(18,2))), 0) AS DOUBLE) / nullif(count(txn_date), 0)
+            AS avg_basket_eur
+          FROM hist WHERE ClientID IS NOT NULL GROUP BY ClientID) AS rfm"""
+
+
 @reco("feature_checks")
 def _():
-    rows = (_checks("user_features", "uf", ["ClientID"], ["txns", "qty_sum", "eur_sum", "recency_days", "n_products"],
+    rows = (_checks("user_features", "uf", ["ClientID"],
+                    ["txns", "qty_sum", "eur_sum", "recency_days", "n_products", "customer_age_days"],
                     ["basket_mean", "basket_median"])
-            + _checks("product_features", "pf", ["ProductID"], ["txns", "buyers", "qty_sum"], ["eur_per_qty"])
-            + _checks("client_product_recency", "cpf", ["ClientID", "ProductID"], ["cp_txns", "days_since_last_cp"], []))
+            + _checks("product_features", "pf", ["ProductID"],
+                      ["txns", "buyers", "qty_sum", "product_age_days", "days_since_sold"], ["eur_per_qty"])
+            + _checks("user_rfm", RFM, ["ClientID"],
+                      ["recency_days", "tenure_days", "freq_txns", "qty_sum", "eur_sum"], ["avg_basket_eur"])
+            + _checks("client_product_recency", "cpf", ["ClientID", "ProductID"],
+                      ["days_since_last_cp", "cp_tenure_days", "cp_txns", "cp_qty_sum", "cp_eur_sum"], [])
+            + _checks("category_features", "catf", ["ProductID"],
+                      ["cat_txns", "cat_qty", "cat_eur", "cat_buyers", "cat_txn_share"], ["cat_eur_per_txn"]))
     return "\nUNION ALL\n".join(rows)
 
 
+def _split_gates(split):
+    at = with_base(f"""
+    SELECT '{split}_rows_gt_0' AS name, count(*) > 0 AS passed, 'rows=' || CAST(count(*) AS VARCHAR) AS message FROM ds
+    UNION ALL SELECT '{split}_label_binary', count(*) FILTER (WHERE label IS NOT NULL AND label NOT IN (0, 1)) = 0,
+           'label must be {{0,1}}' FROM ds""", RECO)
+    return f"SELECT * FROM ({at.replace('(SELECT test_end FROM cutoffs)', f'(SELECT {split}_end FROM cutoffs)')})"
+
+
 @reco("quality_gates")
+def _():
+    null_ratio = "avg(CASE WHEN {0} IS NULL THEN 1.0 ELSE 0.0 END)"
+    rows = ["""SELECT 'interactions_non_empty' AS name, count(*) > 0 AS passed,
+                      'rows=' || CAST(count(*) AS VARCHAR) AS message FROM collapsed"""]
+    for c in ("ClientID", "ProductID"):
+        r = null_ratio.format(c)
+        rows.append(f"SELECT '{c}_null_ratio_lt_1pct', {r} < 0.01, '{c}_null_ratio=' || printf('%.4f', {r}) FROM collapsed")
+    r = "avg(CASE WHEN txn_date IS NOT NULL THEN 1.0 ELSE 0.0 END)"
+    rows.append(f"SELECT 'txn_date_valid_ratio_gt_95pct', {r} > 0.95, 'txn_date_valid_ratio=' || printf('%.4f', {r}) "
+                "FROM collapsed")
+    for table, src in (("user_features", "uf"), ("product_features", "pf"), ("user_rfm", RFM),
+                       ("client_product_recency", "cpf"), ("category_features", "catf")):
+        rows.append(f"SELECT '{table}_non_empty', count(*) > 0, 'rows=' || CAST(count(*) AS VARCHAR) FROM {src}")
+    return "\nUNION ALL\n".join(rows + [_split_gates(s) for s in ("train", "val", "test")])
+
+
+@oracle("interim_profile")
+def _():
+    tables = {"clients": ["ClientID", "ClientSegment", "ClientCountry", "ClientOptINEmail", "ClientOptINPhone",
+                          "ClientGender", "Age"],
+              "products": ["ProductID", "Category", "FamilyLevel1", "FamilyLevel2", "Universe"],
+              "stores": ["StoreID", "StoreCountry"],
+              "transactions": ["ClientID", "ProductID", "SaleTransactionDate", "StoreID", "Quantity",
+                               "SalesNetAmountEuro"],
+              "stocks": ["StoreCountry", "ProductID", "Quantity"]}
+
+    def line(table, metric, item="NULL", value="NULL", text="NULL", tail=""):
+        return (f"""SELECT '{table}' AS "table", '{metric}' AS metric, CAST({item} AS VARCHAR) AS item,
+                    CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text {tail or f'FROM {table}'}""")
+
+    rows = []
+    for t, cols in tables.items():
+        rows += [line(t, "rows", value="count(*)"), line(t, "columns", value=str(len(cols)), tail=" ")]
+        rows += [line(t, "null_percent", f"'{c}'",
+                      f"round_even(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2)") for c in cols]
+    for m, f in (("date_min", "min"), ("date_max", "max")):
+        rows.append(line("transactions", m, text=f"strftime({f}(SaleTransactionDate), '%Y-%m-%d %H:%M:%S')"))
+    for c in ("Quantity", "SalesNetAmountEuro"):
+        rows.append(line("transactions", "negative", f"'{c}'", f"count(*) FILTER (WHERE {c} < 0)"))
+    for d, k in (("clients", "ClientID"), ("products", "ProductID"), ("stores", "StoreID")):
+        rows.append(line("transactions", "orphans", f"'{d}'", "count(*)", tail=(
+            f"FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM {d} d WHERE d.{k} = t.{k})")))
+    rows.append(line("stocks", "orphans", "'products'", "count(*)", tail=(
+        "FROM stocks t WHERE NOT EXISTS (SELECT 1 FROM products d WHERE d.ProductID = t.ProductID)")))
+    rows.append(line("clients", "gender", "ClientGender", "n", tail=(
+        "FROM (SELECT ClientGender, count(*) AS n FROM clients GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 5)")))
+    rows.append(line("products", "category", "Category", tail=(
+        "FROM (SELECT DISTINCT Category FROM products WHERE Category IS NOT NULL ORDER BY 1 LIMIT 10)")))
+    return "\nUNION ALL\n".join(rows)
+
+
+@oracle("sampled_dup_clusters")
 def _():
     return """
-    SELECT 'interactions_non_empty' AS name, count(*) > 0 AS passed, 'rows=' || CAST(count(*) AS VARCHAR) AS message
-    FROM collapsed
-    UNION ALL SELECT 'ClientID_null_ratio_lt_1pct', avg(CASE WHEN ClientID IS NULL THEN 1.0 ELSE 0.0 END) < 0.01,
-           'ClientID_null_ratio=' || printf('%.4f', avg(CASE WHEN ClientID IS NULL THEN 1.0 ELSE 0.0 END)) FROM collapsed
-    UNION ALL SELECT 'ProductID_null_ratio_lt_1pct', avg(CASE WHEN ProductID IS NULL THEN 1.0 ELSE 0.0 END) < 0.01,
-           'ProductID_null_ratio=' || printf('%.4f', avg(CASE WHEN ProductID IS NULL THEN 1.0 ELSE 0.0 END)) FROM collapsed
-    UNION ALL SELECT 'txn_date_valid_ratio_gt_95pct', avg(CASE WHEN txn_date IS NOT NULL THEN 1.0 ELSE 0.0 END) > 0.95,
-           'txn_date_valid_ratio=' || printf('%.4f', avg(CASE WHEN txn_date IS NOT NULL THEN 1.0 ELSE 0.0 END)) FROM collapsed
-    UNION ALL SELECT 'test_rows_gt_0', count(*) > 0, 'rows=' || CAST(count(*) AS VARCHAR) FROM ds
-    UNION ALL SELECT 'test_label_binary', count(*) FILTER (WHERE label IS NOT NULL AND label NOT IN (0, 1)) = 0,
-           'label must be {0,1}' FROM ds"""
+    SELECT ClientID, ProductID, txn_date, CAST(count(*) AS BIGINT) AS rows,
+           CAST(count(DISTINCT Quantity) AS BIGINT) AS qty_nunique,
+           CAST(count(DISTINCT SalesNetAmountEuro) AS BIGINT) AS amt_nunique,
+           CAST(count(DISTINCT StoreID) AS BIGINT) AS stores_nunique,
+           count(DISTINCT Quantity) > 1 AS has_var_qty, count(DISTINCT SalesNetAmountEuro) > 1 AS has_var_amt,
+           count(DISTINCT StoreID) > 1 AS multi_store
+    FROM interactions
+    WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL AND txn_date IS NOT NULL
+      AND substr(md5('42|' || CAST(ClientID AS VARCHAR)), 1, 1) < '8'
+    GROUP BY ClientID, ProductID, txn_date"""
+
+
+@oracle("collapsed_interactions_c_p_d")
+def _():
+    return f"""
+    WITH marked AS (
+      SELECT {", ".join(ICOLS)}, count(*) OVER k AS n,
+             ClientID IS NOT NULL AND ProductID IS NOT NULL AND txn_date IS NOT NULL
+             AND min(Quantity) OVER k = max(Quantity) OVER k
+             AND min(SalesNetAmountEuro) OVER k = max(SalesNetAmountEuro) OVER k
+             AND min(StoreID) OVER k = max(StoreID) OVER k AS one,
+             row_number() OVER (PARTITION BY ClientID, ProductID, txn_date ORDER BY Quantity NULLS LAST,
+                                SalesNetAmountEuro NULLS LAST, StoreID NULLS LAST) AS rn
+      FROM interactions WINDOW k AS (PARTITION BY ClientID, ProductID, txn_date))
+    SELECT {", ".join(ICOLS)}, CAST(CASE WHEN coalesce(one, false) THEN n ELSE 1 END AS BIGINT) AS dup_count
+    FROM marked WHERE NOT coalesce(one, false) OR rn = 1"""
+
+
+# the ordered copy holds the same rows
+ORACLE["product_features_ordered"] = ORACLE["product_features"]
 
 
 CATALOG = """

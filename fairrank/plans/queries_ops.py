@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fairrank.operators import cooccur, curves, features, monitoring, quality, scoring
+from fairrank.operators import cooccur, curves, dedupe, features, monitoring, quality, scoring
 from fairrank.plans.queries_reco import LABEL_DAYS, _run, _split, _window
 from fairrank.plans.registry import Context, query
 from fairrank.sources.contracts import CONTRACTS
+from fairrank.sources.tables import materialize, table_path, write_ordered
 
 TOP_N = 5
 
@@ -45,24 +46,52 @@ def q_inter_report(ctx: Context):
     return r.withColumn("warnings", F.array_join("warnings", "; "))
 
 
+def _feature_tables(ctx: Context):
+    t = features.build_all_features(ctx.history, ctx.cutoffs.test_end)
+    return {"user_features": t["user"], "product_features": t["product"], "user_rfm": t["rfm"],
+            "client_product_recency": t["cp"], "category_features": t["category"]}
+
+
 @query("feature_checks")
 def q_feature_checks(ctx: Context):
-    """Q10: feature-table validators at the test cutoff."""
-    c = ctx.cutoffs.test_end
-    u = quality.feature_table_checks(features.user_features(ctx.history, c), "user_features", ["ClientID"],
-                                     ["txns", "qty_sum", "eur_sum", "recency_days", "n_products"],
-                                     ["basket_mean", "basket_median"])
-    p = quality.feature_table_checks(features.product_features(ctx.history, c), "product_features",
-                                     ["ProductID"], ["txns", "buyers", "qty_sum"], ["eur_per_qty"])
-    cp = quality.feature_table_checks(features.client_product_recency(ctx.history, c), "client_product_recency",
-                                      ["ClientID", "ProductID"], ["cp_txns", "days_since_last_cp"])
-    return u.unionByName(p).unionByName(cp)
+    """Q10: validators of the five feature tables at the test cutoff."""
+    return quality.feature_checks(_feature_tables(ctx))
 
 
 @query("quality_gates")
 def q_gates(ctx: Context):
-    """Q11: interactions and training-split gates."""
-    return quality.interactions_gates(ctx.collapsed).unionByName(quality.split_gates(_split(ctx), "test"))
+    """Q11: gates of interactions, feature tables and the train / val / test splits."""
+    out = quality.interactions_gates(ctx.collapsed).unionByName(quality.feature_gates(_feature_tables(ctx)))
+    for name in ("train", "val", "test"):
+        out = out.unionByName(quality.split_gates(_split_at(ctx, name), name))
+    return out
+
+
+@query("interim_profile")
+def q_interim(ctx: Context):
+    """Q19: profile of the canonical tables."""
+    return quality.interim_profile(ctx.canonical)
+
+
+@query("sampled_dup_clusters")
+def q_sampled(ctx: Context):
+    """S11 + Q12: duplicate clusters of the interactions of a hash-sampled half of the clients."""
+    half = dedupe.sample_by_hash(ctx.interactions, ["ClientID"], 0.5)
+    return dedupe.describe_dup_clusters(half, dedupe.LEVEL_KEYS["c_p_d"])
+
+
+@query("collapsed_interactions_c_p_d")
+def q_collapsed_cpd(ctx: Context):
+    """Q15 at client / product / date level."""
+    return dedupe.collapse_duplicates(ctx.interactions, "c_p_d")[0]
+
+
+@query("product_features_ordered")
+def q_ordered(ctx: Context):
+    """Product features written in key order and read back."""
+    path = table_path(ctx.spark, ctx.sf_dir, "product_features_ordered")
+    write_ordered(features.product_features(ctx.history, ctx.cutoffs.test_end), path, ["ProductID"])
+    return ctx.spark.read.parquet(path)
 
 
 # --- catalog / co-occurrence ---------------------------------------------------------
@@ -190,7 +219,8 @@ def _split_at(ctx: Context, name: str):
     from fairrank.config import SplitCfg
     from fairrank.operators import labels
     from fairrank.plans.queries_reco import NEG_PER_POS
-    from fairrank.sources.tables import materialize
+    if name == "test":
+        return _split(ctx)
     cfg = SplitCfg(name, ctx.cutoffs.for_split(name), LABEL_DAYS, NEG_PER_POS, "pop_in_prefcat", "binary")
     return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg),
                                                           ctx.sf_dir, f"split_{name}"))
@@ -205,9 +235,9 @@ def q_folds(ctx: Context):
 
 @query("feature_importance")
 def q_importance(ctx: Context):
-    """M7: boosted-tree feature ranking on the test split."""
+    """M7: boosted-tree feature ranking on the train split."""
     from fairrank.operators import ml
-    s = _split(ctx)
+    s = _split_at(ctx, "train")
     return ml.feature_ranking(s, _features(s))
 
 

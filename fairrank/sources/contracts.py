@@ -179,7 +179,7 @@ def ingest_frame(df: DataFrame, contract: Contract, known_products: DataFrame |
     """S1 on an already-read frame: coerce, normalise, validate, filter stocks."""
     out = coerce_to_contract(df, contract)
     if raise_on_error:
-        errs = [r.error for r in contract_errors(out, contract).limit(20).collect()]
+        errs = [r.error for r in contract_errors(out, contract).collect()]
         if errs:
             raise ValueError(f"contract '{contract.name}' violated: {errs}")
     if contract.name == "stocks" and known_products is not None:

@@ -53,3 +53,10 @@ def read_dated(spark: SparkSession, base_path: str, cutoff: str) -> DataFrame |
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Parquet in key order (files hold disjoint key ranges, rows are sorted
+    inside each), so that min/max statistics prune reads by key.  The range
+    bounds are sampled by Spark; nothing is gathered into one task."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
