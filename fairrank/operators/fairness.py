@@ -112,13 +112,14 @@ def rerank_for_exposure_balance(scored: DataFrame, client_groups: DataFrame, gro
     """fair_score = score + lambda * lift(group, category) over ALL
     candidates, then a new top-K.  Lift comes from the base top-K of the
     eligible groups; (group, category) cells absent there get lift 0.  The
-    lift table is groups x categories in size, so it is broadcast."""
+    caller chooses the columns, so the lift table has no proven size: AQE
+    broadcasts it only if it is measured to be small."""
     wg = attach_group_labels(scored, client_groups, group_col)
     top = top_k(wg, top_k_n, score_col)
     if eligible_groups is not None:
         top = top.where(F.col(group_col).isin(list(eligible_groups)))
     lifts = category_lift_table(top, group_col, category_col)
-    out = (wg.join(F.broadcast(lifts), [group_col, category_col], "left")
+    out = (wg.join(lifts, [group_col, category_col], "left")
              .withColumn("lift", F.coalesce(F.col("lift"), F.lit(0.0)))
              .withColumn("fair_score", F.col(score_col) + F.lit(float(lambda_fairness)) * F.col("lift")))
     return top_k(out, top_k_n, "fair_score")
@@ -137,6 +138,6 @@ def sample_weights(df: DataFrame, group_col: str, eligible_groups: Iterable[str]
     scale = counts.agg((F.sum("__cnt") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("__scale"))
     w = (counts.crossJoin(scale)  # groups x one row
                .select("__grp", clip_range(F.col("__scale") / F.col("__cnt"), clip[0], clip[1]).alias("__w")))
-    out = d.join(F.broadcast(w), "__grp", "left")  # one row per group
+    out = d.join(w, "__grp", "left")
     return (out.withColumn(out_col, F.when(F.col("__elig"), F.col("__w")).otherwise(F.lit(float(others_weight))))
                .drop("__grp", "__elig", "__w"))

@@ -9,11 +9,9 @@ the first ``n`` - work linear in the output plus the client's history.
 
 * ``pop``            order = global popularity (txn count desc, ProductID asc)
 * ``pop_in_prefcat`` preferred-category popularity first, then global backfill
-* ``none``           order = a per-client pseudo-random permutation of the
-                     catalog, ``idx(j) = (a_c * j + o_c) mod N`` with ``a_c`` a
-                     prime larger than N (so coprime to N) picked by hash:
-                     a uniform-looking sample without replacement that is
-                     reproducible and needs no per-client state.
+* ``none``           a uniform sample without replacement by MD5: hashed draws
+                     with rejection where the catalog is large next to the
+                     client's demand and history, else the catalog in hash order
 """
 
 from __future__ import annotations
@@ -26,8 +24,10 @@ from fairrank.functions.columns import clip_lower0, is_numeric
 from fairrank.operators import features as feats
 
 PAIR = ["ClientID", "ProductID"]
-# Fixed multipliers for the "none" permutation (primes above any catalog size).
-PERMUTATION_PRIMES = (1000000007, 1000000009, 998244353, 2147483647)
+# "none" draws by hashed rank where the catalog holds over PROBE_FACTOR (n + b) products: a draw
+# then fails with a probability below 1/4, and 2 n + PROBE_SPARE draws nearly always give n.
+PROBE_FACTOR = 4
+PROBE_SPARE = 64
 
 
 def _ts(d: str) -> Column:
@@ -141,6 +141,40 @@ def _first_unblocked(slots: DataFrame, ranked: DataFrame, join_cols: list[str],
     return cand.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= take).drop("_k")
 
 
+def _md5_int(*parts: Column) -> Column:
+    """The first 48 bits of the MD5 of the parts joined by ``|``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("bigint")
+
+
+def _random_unblocked(demand: DataFrame, pop: DataFrame, blocked: DataFrame, seed: int) -> DataFrame:
+    """Per client a uniform sample of ``n`` unblocked products without replacement.
+
+    Where the catalog holds over ``PROBE_FACTOR`` (n + b) products, a client draws
+    2 n + ``PROBE_SPARE`` of them by hashed rank and keeps the first ``n`` different unblocked
+    ones.  The others, and the rare client whose draws do not suffice, take the catalog in the
+    order of a hash of seed, client and product.  Either way the rows made are in proportion to
+    the client's own demand and history, never clients x catalog."""
+    sparse = F.col("n_catalog") > F.lit(PROBE_FACTOR) * (F.col("n") + F.col("b"))
+    probes = (demand.where(sparse)
+              .select("ClientID", "n", "n_catalog", F.explode(F.sequence(
+                  F.lit(1).cast("bigint"), 2 * F.col("n") + PROBE_SPARE)).alias("j"))
+              .withColumn("rank", (F.pmod(_md5_int(F.lit(seed), F.col("ClientID"), F.col("j")), F.col("n_catalog")) + 1).cast("int"))
+              .groupBy("ClientID", "n", "rank").agg(F.min("j").alias("j")))
+    drawn = _first_unblocked(probes, pop.select("rank", "ProductID"), ["rank"], blocked, F.col("n"), "j")
+    served = drawn.groupBy("ClientID").agg(F.count(F.lit(1)).alias("m"))
+    rest = demand.join(served, "ClientID", "left").where(F.coalesce(F.col("m"), F.lit(0)) < F.col("n"))
+    drawn = drawn.join(rest.select("ClientID"), "ClientID", "left_anti")
+    slots = rest.select("ClientID", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_catalog"))).alias("rank"))
+    hashed = (slots.join(pop.select("rank", "ProductID"), "rank")
+              .withColumn("j", _md5_int(F.lit(seed), F.col("ClientID"), F.col("ProductID"))).drop("rank")
+              .join(blocked, PAIR, "left_anti"))
+    w = Window.partitionBy("ClientID").orderBy("j", "ProductID")
+    ordered = hashed.withColumn("neg_order", F.row_number().over(w)).where(F.col("neg_order") <= F.col("n"))
+    first = drawn.withColumn("neg_order", F.row_number().over(Window.partitionBy("ClientID").orderBy("j")))
+    cols = ["ClientID", "ProductID", "neg_order"]
+    return first.select(*cols).unionByName(ordered.select(*cols))
+
+
 def negatives(history: DataFrame, pos: DataFrame, negatives_per_pos: int = 5,
               hard_mode: str = "pop_in_prefcat", seed: int = 42,
               cap_negatives: int | None = None) -> DataFrame:
@@ -161,16 +195,8 @@ def negatives(history: DataFrame, pos: DataFrame, negatives_per_pos: int = 5,
                           F.row_number().over(Window.partitionBy("ClientID").orderBy("rank")).alias("neg_order"))
 
     if hard_mode == "none":
-        primes = F.array(*[F.lit(p).cast("bigint") for p in PERMUTATION_PRIMES])
-        h = F.xxhash64(F.lit(seed), F.col("ClientID"))
-        a = F.element_at(primes, (F.pmod(h, F.lit(len(PERMUTATION_PRIMES))) + 1).cast("int")) % F.col("n_catalog")
-        o = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("ClientID")), F.col("n_catalog"))
-        slots = (demand.select("ClientID", "n", "n_catalog", a.alias("a"), o.alias("o"),
-                               F.explode(F.sequence(F.lit(1).cast("bigint"), depth)).alias("pos"))
-                       .withColumn("rank", F.pmod(F.col("a") * F.col("pos") + F.col("o"), F.col("n_catalog")) + 1))
-        out = _first_unblocked(slots, pop.select("rank", "ProductID"), ["rank"], blocked, F.col("n"), "pos")
-        return out.select("ClientID", "ProductID", F.lit(0).alias("label"),
-                          F.row_number().over(Window.partitionBy("ClientID").orderBy("pos")).alias("neg_order"))
+        out = _random_unblocked(demand, pop, blocked, seed)
+        return out.select("ClientID", "ProductID", F.lit(0).alias("label"), "neg_order")
 
     # pop_in_prefcat: tier 0 inside the preferred category, tier 1 global backfill
     pref = client_pref_category(history)

@@ -36,9 +36,11 @@ RANKING_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingR
 
 
 def grouped_folds(df: DataFrame, k: int = 3, key: str = "ClientID", col: str = "fold", seed: int = 42) -> DataFrame:
-    """M9: fold = pmod(xxhash64(seed, key), k); a key never spans folds
-    (folds are hash-balanced, not size-balanced)."""
-    return df.withColumn(col, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+    """M9: fold = the first 48 bits of md5(seed|key), modulo k; a key never
+    spans folds (folds are hash-balanced, not size-balanced)."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    return df.withColumn(col, F.pmod(bits, F.lit(k)).cast("int"))
 
 
 def with_balance_weight(df: DataFrame, label_col: str = "label", out_col: str = "weight",

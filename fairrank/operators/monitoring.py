@@ -55,6 +55,34 @@ def fairness_drift(reports: DataFrame, limit: int = 20) -> DataFrame:
                            post["min_max_ratio"].alias("post_min_max_ratio")))
 
 
+REPORT_SCHEMA = ("report string, generated_at timestamp_ntz, pre struct<max_gap:double,min_max_ratio:double>, "
+                 "post struct<max_gap:double,min_max_ratio:double>, focus_pre struct<max_gap:double,min_max_ratio:double>, "
+                 "focus_post struct<max_gap:double,min_max_ratio:double>")
+
+
+def report_row(name: str, generated_at: str, pre: DataFrame, post: DataFrame,
+               focus_pre: DataFrame | None = None, focus_post: DataFrame | None = None) -> DataFrame:
+    """One report of the history from one-row audit summaries; without focus audits those stay NULL."""
+    out = pre.sparkSession.range(1).select(F.lit(name).alias("report"),
+                                           F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"))
+    for col, summary in (("pre", pre), ("post", post), ("focus_pre", focus_pre), ("focus_post", focus_post)):
+        if summary is None:
+            out = out.withColumn(col, F.lit(None).cast("struct<max_gap:double,min_max_ratio:double>"))
+        else:
+            out = out.crossJoin(summary.select(F.struct("max_gap", "min_max_ratio").alias(col)))  # one row each
+    return out
+
+
+def append_report(row: DataFrame, path: str) -> None:
+    """Append a report to the stored history."""
+    row.write.mode("append").parquet(path)
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """The stored report history."""
+    return spark.read.schema(REPORT_SCHEMA).parquet(path)
+
+
 def read_report_files(spark, pattern: str) -> DataFrame:
     """S9 backfill: JSON summary files -> reports table, file mtime as generated_at."""
     df = spark.read.option("multiLine", True).json(pattern).select("*", "_metadata.file_name",

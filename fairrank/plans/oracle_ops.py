@@ -24,15 +24,41 @@ def _():
     for name, pk, src, ncols in specs:
         pkdup = (f"(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM {src} "
                  f"GROUP BY {', '.join(pk)} HAVING count(*) > 1))") if pk else "CAST(0 AS BIGINT)"
+        after = f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(pk) if pk else '*'} FROM {src}))"
         parts.append(f"""
-        SELECT '{name}' AS "table", CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
+        SELECT '{name}' AS "table", CAST(count(*) AS BIGINT) AS rows_before, CAST({after} AS BIGINT) AS rows_after,
                {ncols} AS cols,
                CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows_full,
-               {pkdup} AS duplicate_rows_on_pk, CAST(0 AS BIGINT) AS rows_removed_dedup
+               {pkdup} AS duplicate_rows_on_pk, CAST(count(*) - {after} AS BIGINT) AS rows_removed_dedup
         FROM {src}""")
     return "\nUNION ALL\n".join(parts)
 
 
+# The columns of the canonical tables.
+TABLE_COLS = {
+    "clients": "ClientID ClientSegment ClientCountry ClientOptINEmail ClientOptINPhone ClientGender Age",
+    "products": "ProductID Category FamilyLevel1 FamilyLevel2 Universe",
+    "stores": "StoreID StoreCountry",
+    "transactions": "ClientID ProductID StoreID SaleTransactionDate Quantity SalesNetAmountEuro",
+    "stocks": "StoreCountry ProductID Quantity",
+}
+
+
+@oracle("canonical_null_percent", ["null_percent"])
+def _():
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "
+        f"round_even(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 2) AS null_percent FROM {t}"
+        for t, cols in TABLE_COLS.items() for c in cols.split())
+
+
+@oracle("cleaned_interactions", ["SalesNetAmountEuro", "Age"])
+def _():
+    return f"""SELECT DISTINCT {', '.join(ICOLS)} FROM interactions
+               WHERE ClientID IN (SELECT ClientID FROM clients) AND ProductID IN (SELECT ProductID FROM products)
+                 AND StoreID IN (SELECT StoreID FROM stores)"""
+
+
 @oracle("describe_numeric", ["count", "mean", "std", "min", "p1", "p5", "p25", "p50", "p75", "p95", "p99", "max"])
 def _():
     parts = []

@@ -241,6 +241,36 @@ def _():
     return "SELECT * FROM neg_prefcat"
 
 
+def _bits(text):
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+@reco("negatives_none")
+def _():
+    """Draws by hashed rank, then the hash order of the whole catalog for the clients left."""
+    return f"""
+    WITH d AS (SELECT m.ClientID, m.n, (SELECT count(*) FROM pp) AS nc,
+                      (SELECT count(*) FROM (SELECT * FROM pos UNION SELECT * FROM seen) x
+                       WHERE x.ClientID = m.ClientID) AS b FROM dem m),
+    probe AS (SELECT ClientID, n, {_bits("'42|' || ClientID || '|' || j")} % nc + 1 AS rank, min(j) AS j
+              FROM (SELECT *, unnest(generate_series(1, 2 * n + 64)) AS j FROM d WHERE nc > 4 * (n + b)) GROUP BY ALL),
+    drawn AS (SELECT p.ClientID, u.ProductID, p.n, row_number() OVER (PARTITION BY p.ClientID ORDER BY p.j) AS r
+              FROM probe p JOIN unblocked u ON u.ClientID = p.ClientID AND u.rank = p.rank),
+    served AS (SELECT ClientID FROM drawn GROUP BY ClientID, n HAVING count(*) >= n),
+    hashed AS (SELECT ClientID, ProductID, n, row_number() OVER (PARTITION BY ClientID
+                 ORDER BY {_bits("'42|' || ClientID || '|' || ProductID")}, ProductID) AS r
+               FROM unblocked WHERE ClientID NOT IN (SELECT ClientID FROM served))
+    SELECT ClientID, ProductID, 0 AS label, CAST(r AS INTEGER) AS neg_order
+    FROM (SELECT * FROM drawn WHERE ClientID IN (SELECT ClientID FROM served) UNION ALL
+          SELECT ClientID, ProductID, n, r FROM hashed) WHERE r <= n"""
+
+
+@reco("grouped_folds")
+def _():
+    return f"""SELECT ClientID, ProductID, label, CAST({_bits("'42|' || ClientID")} % 3 AS INTEGER) AS fold
+               FROM ds"""
+
+
 @reco("split_test_dataset", SPLIT_DOUBLES)
 def _():
     return "SELECT * FROM ds"
@@ -339,6 +369,28 @@ def _():
     return _summary("base", "hybrid_score", "pre") + "\nUNION ALL\n" + _summary("fair", "fair_score", "post")
 
 
+def _focus(src):
+    return f"(SELECT * FROM {src} WHERE grp IN ('Male', 'Female'))"
+
+
+@reco("fairness_focus_summary", ["max_gap", "min_max_ratio", "mean_category_l1"])
+def _():
+    return (_summary(_focus("base"), "hybrid_score", "pre") + "\nUNION ALL\n"
+            + _summary(_focus("fair"), "fair_score", "post"))
+
+
+@reco("fairness_drift", ["pre_max_gap", "post_max_gap", "pre_min_max_ratio", "post_min_max_ratio"])
+def _():
+    def row(name, focus):
+        pre = _summary(focus("base"), "hybrid_score", "pre")
+        post = _summary(focus("fair"), "fair_score", "post")
+        return f"""SELECT '{name}' AS report, (SELECT test_end FROM cutoffs) AS generated_at,
+                   a.max_gap AS pre_max_gap, b.max_gap AS post_max_gap,
+                   a.min_max_ratio AS pre_min_max_ratio, b.min_max_ratio AS post_min_max_ratio
+                   FROM ({pre}) a CROSS JOIN ({post}) b"""
+    return row("reco_test", str) + "\nUNION ALL\n" + row("reco_test_focus", _focus)
+
+
 @reco("category_exposure_matrix", ["exposure_share"])
 def _():
     return """

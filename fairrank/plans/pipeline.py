@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from fairrank.config import Cutoffs
 from fairrank.operators.dedupe import collapse_duplicates, dedupe_table
-from fairrank.operators.interactions import build_interactions, load_interactions
+from fairrank.operators.interactions import build_interactions, drop_orphans
 from fairrank.sources.contracts import CONTRACTS, ingest_frame
 
 
 def canonical_tables(domain: dict[str, DataFrame], fix: bool = False,
-                     validate: bool = False) -> dict[str, DataFrame]:
+                     validate: bool = False, orphans: bool = True) -> dict[str, DataFrame]:
     """S1 over already-loaded frames: contract coercion + value normalisation;
-    stocks limited to known products; optional table-aware dedupe (U5)."""
+    stocks limited to known products; optional table-aware dedupe (U5).  Without
+    ``orphans`` only transactions of known clients, products and stores stay (J3)."""
     out = {}
     for name in ("clients", "products", "stores", "transactions", "stocks"):
         known = out.get("products") if name == "stocks" else None
@@ -30,6 +31,8 @@ def canonical_tables(domain: dict[str, DataFrame], fix: bool = False,
         if fix:
             df = dedupe_table(name, df, list(CONTRACTS[name].primary_key) or None)
         out[name] = df
+    if not orphans:
+        out["transactions"] = drop_orphans(out["transactions"], out["clients"], out["products"], out["stores"])
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fairrank.operators import cooccur, curves, dedupe, features, monitoring, quality, scoring
-from fairrank.plans.queries_reco import LABEL_DAYS, _run, _split, _window
+from fairrank.plans.queries_reco import LABEL_DAYS, _focus_run, _run, _split, _window
+from fairrank.plans.pipeline import canonical_tables, interactions_from_canonical
 from fairrank.plans.registry import Context, query
 from fairrank.sources.contracts import CONTRACTS
 from fairrank.sources.tables import materialize, table_path, write_ordered
@@ -22,9 +25,26 @@ def q_null_pct(ctx: Context):
 
 @query("canonical_report")
 def q_canonical_report(ctx: Context):
-    """Q6: per-table rows, full and primary-key duplicates."""
+    """Q6: per-table rows before and after the dedupe (U3-U5), full and primary-key duplicates."""
     t = ctx.canonical
-    return quality.canonical_report(t, {n: list(CONTRACTS[n].primary_key) or None for n in t})
+    pks = {n: list(CONTRACTS[n].primary_key) or None for n in t}
+    return quality.canonical_report(t, pks, {n: dedupe.dedupe_table(n, df, pks[n]) for n, df in t.items()})
+
+
+@query("canonical_null_percent")
+def q_canonical_nulls(ctx: Context):
+    """Q2/Q6: NULL percentage of every column of the canonical tables."""
+    out = None
+    for name, df in ctx.canonical.items():
+        r = quality.null_percent(df).select(F.lit(name).alias("table"), "column", "null_percent")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("cleaned_interactions")
+def q_cleaned(ctx: Context):
+    """Deduped canonical tables without orphan transactions, in the validated star join."""
+    return interactions_from_canonical(canonical_tables(ctx.domain, fix=True, orphans=False), validate=True)
 
 
 @query("describe_numeric")
@@ -180,19 +200,23 @@ def q_hourly(ctx: Context):
     return windowed_path_stats(_log(ctx), "1 hour", "2 hours")
 
 
+def _report_history(ctx: Context):
+    """Two reports of the test-split run, the second with the focus groups, appended to a table."""
+    def build():
+        r, focus = _run(ctx), _focus_run(ctx)
+        path = table_path(ctx.spark, ctx.sf_dir, f"fairness_reports_{uuid.uuid4().hex}")
+        pre, post, at = r.audit("pre")[2], r.audit("post")[2], ctx.cutoffs.test_end
+        monitoring.append_report(monitoring.report_row("reco_test", at, pre, post), path)
+        monitoring.append_report(monitoring.report_row(
+            "reco_test_focus", at, pre, post, focus.audit("pre", True)[2], focus.audit("post", True)[2]), path)
+        return path
+    return monitoring.read_reports(ctx.spark, ctx._memo("fairness_reports", build))
+
+
 @query("fairness_drift")
 def q_drift(ctx: Context):
-    """Drift record of the test-split run (pre vs post parity)."""
-    r = _run(ctx)
-    pre, post = r.audit("pre")[2], r.audit("post")[2]
-    rep = (pre.select(F.struct("max_gap", "min_max_ratio").alias("pre"))
-              .crossJoin(post.select(F.struct("max_gap", "min_max_ratio").alias("post")))
-              .select(F.lit("reco_test").alias("report"),
-                      F.lit(ctx.cutoffs.test_end).cast("timestamp_ntz").alias("generated_at"),
-                      "pre", "post",
-                      F.lit(None).cast("struct<max_gap:double,min_max_ratio:double>").alias("focus_pre"),
-                      F.lit(None).cast("struct<max_gap:double,min_max_ratio:double>").alias("focus_post")))
-    return monitoring.fairness_drift(rep, 20)
+    """Drift of the stored fairness reports, the focus view preferred."""
+    return monitoring.fairness_drift(_report_history(ctx), 20)
 
 
 # --- curves ----------------------------------------------------------------------------

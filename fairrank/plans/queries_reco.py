@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fairrank.config import RecommendCfg, SplitCfg
@@ -104,7 +106,7 @@ def q_neg_prefcat(ctx: Context):
 
 @query("negatives_none")
 def q_neg_none(ctx: Context):
-    """Pseudo-random unseen negatives (checked by property, no SQL oracle)."""
+    """Uniform unseen negatives by MD5."""
     return _negatives(ctx, "none")
 
 
@@ -179,6 +181,20 @@ def q_fair_summary(ctx: Context):
             .unionByName(r.audit("post")[2].withColumn("variant", F.lit("post"))))
 
 
+def _focus_run(ctx: Context):
+    """The test run with Male and Female as the groups its focus audit looks at."""
+    r = _run(ctx)
+    return replace(r, cfg=replace(r.cfg, fairness_groups=["Male", "Female"]))
+
+
+@query("fairness_focus_summary")
+def q_focus_summary(ctx: Context):
+    """R9 focus audit: X3+X5 over the lists of the focus groups alone."""
+    r = _focus_run(ctx)
+    return (r.audit("pre", focus=True)[2].withColumn("variant", F.lit("pre"))
+            .unionByName(r.audit("post", focus=True)[2].withColumn("variant", F.lit("post"))))
+
+
 @query("category_exposure_matrix")
 def q_cat_matrix(ctx: Context):
     """X2 on the base lists."""

@@ -1,6 +1,9 @@
 """Negative sampling against brute force on small random fixtures."""
 
+import datetime
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +82,42 @@ def test_random_negatives_invariants(spark, seed):
     # deterministic
     again = labels.negatives(h, pdf, 2, "none").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def _bits(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+
+
+def _random_brute(history, pos, per_pos, seed=42):
+    """Draws by hashed rank where the catalog is large, else (or if they fail) the catalog in hash order."""
+    pop = Counter(p for _, p in history)
+    ranked = sorted(pop, key=lambda p: (-pop[p], p))
+    out = {}
+    for c in {c for c, _ in pos}:
+        blocked = {p for c2, p in [*history, *pos] if c2 == c}
+        n, size = per_pos * len({p for c2, p in pos if c2 == c}), len(ranked)
+        got = []
+        if size > labels.PROBE_FACTOR * (n + len(blocked)):
+            for j in range(1, 2 * n + labels.PROBE_SPARE + 1):
+                p = ranked[_bits(seed, c, j) % size]
+                if p not in blocked and p not in got:
+                    got.append(p)
+        if len(got) < n:
+            got = sorted(set(ranked) - blocked, key=lambda p: (_bits(seed, c, p), p))
+        out[c] = got[:n]
+    return out
+
+
+@pytest.mark.parametrize("products, spare", [(12, 64), (900, 64), (900, -7)])
+def test_random_negatives_match_brute_force(spark, monkeypatch, products, spare):
+    """Catalog order, hashed draws, and draws that do not suffice (too few of them)."""
+    monkeypatch.setattr(labels, "PROBE_SPARE", spare)
+    hist = [(c, f"P{p:04d}") for p in range(products) for c in (f"C{p % 7}", "C9")[: 1 + (p % 50 == 0)]]
+    pos = [("C9", "P0003"), ("C9", "P0004"), ("C9", "P0005"), ("C1", "P0002")]
+    h = spark.createDataFrame([(c, p, "A", datetime.datetime(2024, 1, 1)) for c, p in hist],
+                              "ClientID string, ProductID string, Category string, txn_date timestamp_ntz")
+    got = {}
+    rows = labels.negatives(h, spark.createDataFrame(pos, "ClientID string, ProductID string"), 4, "none")
+    for r in rows.orderBy("ClientID", "neg_order").collect():
+        got.setdefault(r.ClientID, []).append(r.ProductID)
+    assert got == {c: v for c, v in _random_brute(hist, pos, 4).items() if v}
