@@ -8,9 +8,11 @@ Only per-model metric rows (a handful of scalars) reach the driver.
 
 from __future__ import annotations
 
+import math
 import random
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -30,6 +32,8 @@ MODEL_DEFAULTS = {
     "rf": {"numTrees": 400, "minInstancesPerNode": 2, "maxDepth": 30},
     "gbt": {"maxIter": 600, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
 }
+# What models are chosen by.
+METRICS = ("pr_auc", "roc_auc", "map_at_k", "recall_at_k")
 # Fixed values of the feature ranking: 300 rounds of up to 64 leaves.
 RANKING_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                   "featureSubsetStrategy": "0.9"}
@@ -101,14 +105,31 @@ def evaluate(model: PipelineModel, df: DataFrame, label_col: str = "label", k: i
         group_ranking_metrics(pred, k, "proba", label_col, "ClientID"))
 
 
+def _check_metric(metric: str) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known metrics: {', '.join(METRICS)}")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """M5: write a fitted pipeline to shared storage."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str],
                      kinds: Sequence[str] = ("logreg", "rf", "gbt"), params: dict | None = None,
-                     metric: str = "pr_auc", weight_col: str | None = "weight") -> tuple[DataFrame, PipelineModel]:
+                     metric: str = "pr_auc", weight_col: str | None = "weight",
+                     fair_col: str | None = None) -> tuple[DataFrame, PipelineModel]:
     """M5: fit every model, pick the best validation ``metric``, score test;
-    returns (leaderboard DF, best fitted PipelineModel)."""
+    returns (leaderboard DF, best fitted PipelineModel).  ``fair_col`` names a
+    fairness weight (X8) that multiplies the class balance (M11)."""
     params = params or {}
+    _check_metric(metric)
     if weight_col:
-        train = with_balance_weight(train, out_col=weight_col)
+        train = with_balance_weight(train, out_col=weight_col, base_col=fair_col)
     rows, models = [], {}
     total = total_weight(train, weight_col)
     for kind in kinds:
@@ -169,28 +190,69 @@ def topk_feature_curve(df: DataFrame, ranked: Sequence[str], ks: Sequence[int] |
     return curve.crossJoin(best).withColumn("best", F.col("k") == F.col("__best")).drop("__best")
 
 
+# Fixed values, the reference's search ranges: (kind of draw, low, high).  Spark's trees are at
+# most 30 deep; the split size, L2 and gamma parameters have no counterpart in Spark.
 SEARCH_SPACES = {
-    "logreg": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 0.5, 1.0]},
-    "rf": {"numTrees": [100, 200, 400], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 5]},
-    "gbt": {"maxIter": [100, 300, 600], "maxDepth": [3, 5, 8], "stepSize": [0.02, 0.05, 0.1]},
+    "logreg": {"C": ("log", 1e-3, 10.0), "maxIter": ("int", 200, 800)},
+    "rf": {"numTrees": ("int", 200, 900), "maxDepth": ("int", 6, 30), "minInstancesPerNode": ("int", 1, 10),
+           "featureSubsetStrategy": ("share", 0.2, 1.0)},
+    "gbt": {"maxIter": ("int", 300, 1200), "maxDepth": ("int", 4, 12), "stepSize": ("log", 0.01, 0.2),
+            "subsamplingRate": ("float", 0.5, 1.0), "featureSubsetStrategy": ("share", 0.5, 1.0)},
 }
 
 
-def random_search(df: DataFrame, features: Sequence[str], kind: str, n_trials: int = 10, folds: int = 3,
-                  seed: int = 42, space: dict | None = None) -> DataFrame:
-    """Seeded random search, grouped-CV mean PR-AUC per parameter set."""
+def draw_params(space: dict, rnd: random.Random) -> dict:
+    """One parameter set; a ``share`` is a fraction that Spark wants as text."""
+    out = {}
+    for name, (kind, low, high) in space.items():
+        if kind == "int":
+            out[name] = rnd.randint(low, high)
+        elif kind == "log":
+            out[name] = math.exp(rnd.uniform(math.log(low), math.log(high)))
+        else:
+            x = rnd.uniform(low, high)
+            out[name] = f"{x:.4f}" if kind == "share" else x
+    return out
+
+
+@dataclass
+class SearchResult:
+    """Every trial's mean CV metric, the best parameters, the refitted model and its metrics."""
+    trials: DataFrame
+    params: dict
+    model: PipelineModel
+    metrics: DataFrame
+
+
+def random_search(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], kind: str,
+                  metric: str = "pr_auc", n_trials: int = 10, folds: int = 3, seed: int = 42,
+                  space: dict | None = None, weigh: Callable[[DataFrame], DataFrame] | None = None) -> SearchResult:
+    """Seeded random search by the mean ``metric`` of a grouped CV, then a
+    refit of the best set on the whole train split, scored on val and test.
+
+    ``weigh`` adds fairness weights (X8) as column ``sample_weight`` to what is
+    fitted on, computed anew for each fold (M11); they multiply the class balance."""
+    _check_metric(metric)
     rnd = random.Random(seed)
     space = space or SEARCH_SPACES[kind]
-    d = grouped_folds(df, folds)
-    out = []
+    d = grouped_folds(train, folds, seed=seed)
+
+    def fit(rows: DataFrame, params: dict) -> PipelineModel:
+        weighed = with_balance_weight(weigh(rows) if weigh else rows, base_col="sample_weight" if weigh else None)
+        return build_pipeline(kind, features, weight_col="weight", seed=seed,
+                              total_weight=total_weight(weighed, "weight"), **params).fit(weighed)
+
+    sets, out = [], None
     for t in range(n_trials):
-        p = {k: rnd.choice(v) for k, v in space.items()}
+        sets.append(draw_params(space, rnd))
         for f in range(folds):
-            fit_on = d.where(F.col("fold") != f)
-            m = build_pipeline(kind, features, total_weight=total_weight(fit_on), **p).fit(fit_on)
-            ev = score_metrics(predict_proba(m, d.where(F.col("fold") == f)), "label", "proba")
-            out.append(ev.select(F.lit(t).alias("trial"), F.lit(str(p)).alias("params"), "pr_auc"))
-    res = out[0]
-    for r in out[1:]:
-        res = res.unionByName(r)
-    return res.groupBy("trial", "params").agg(F.avg("pr_auc").alias("cv_pr_auc"))
+            m = fit(d.where(F.col("fold") != f), sets[t])
+            row = evaluate(m, d.where(F.col("fold") == f)).select(
+                F.lit(t).alias("trial"), F.lit(str(sets[t])).alias("params"), F.col(metric).alias("value"))
+            out = row if out is None else out.unionByName(row)
+    trials = materialize(out.groupBy("trial", "params").agg(F.avg("value").alias(f"cv_{metric}")),
+                         "search", uuid.uuid4().hex)
+    best = sets[trials.orderBy(F.desc(f"cv_{metric}"), F.asc("trial")).first()["trial"]]
+    model = fit(train, best)
+    scores = [evaluate(model, rows).withColumn("split", F.lit(name)) for name, rows in (("val", val), ("test", test))]
+    return SearchResult(trials, best, model, scores[0].unionByName(scores[1]))

@@ -1,4 +1,4 @@
-"""Registered queries: quality reports, catalog, co-occurrence, monitoring, curves."""
+"""Registered queries: quality reports, catalog, co-occurrence, monitoring, curves, models."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fairrank.operators import cooccur, curves, dedupe, features, monitoring, quality, scoring
+from fairrank.config import RecommendCfg
+from fairrank.operators import cooccur, curves, dedupe, fairness, features, monitoring, quality, scoring
 from fairrank.plans.queries_reco import LABEL_DAYS, _focus_run, _run, _split, _window
 from fairrank.plans.pipeline import canonical_tables, interactions_from_canonical
+from fairrank.plans.recommend import run_recommendations
 from fairrank.plans.registry import Context, query
 from fairrank.sources.contracts import CONTRACTS
 from fairrank.sources.tables import materialize, table_path, write_ordered
@@ -277,3 +279,29 @@ def q_leaderboard(ctx: Context):
                                    params={"rf": {"numTrees": 50, "maxDepth": 10},
                                            "gbt": {"maxIter": 30, "maxDepth": 5}})
     return board
+
+
+def _fair_weights(ctx: Context, rows):
+    """Inverse-frequency weights of the genders Male and Female."""
+    wg = fairness.attach_group_labels(rows, scoring.client_group_frame(ctx.history), "ClientGender")
+    return fairness.sample_weights(wg, "ClientGender", ["Male", "Female"])
+
+
+@query("model_recommendations")
+def q_model_recs(ctx: Context):
+    """R6-R8 with a trained model: logistic regression fitted on the train split under balance x
+    fairness weights (M11), saved, loaded, and its probabilities blended into the top-10 lists."""
+    from fairrank.operators import ml
+    from fairrank.plans.queries_reco import TOP_K, test_cfg
+    train, val, test = _split_at(ctx, "train"), _split_at(ctx, "val"), _split(ctx)
+
+    def build():
+        path = table_path(ctx.spark, ctx.sf_dir, "affinity_model")
+        _, best = ml.train_and_select(_fair_weights(ctx, train), val, test, _features(train), kinds=("logreg",),
+                                      fair_col="sample_weight")
+        ml.save_model(best, path)
+        return path
+    model = ml.load_model(ctx._memo("affinity_model", build))
+    run = run_recommendations(ctx.history, test_cfg(ctx), RecommendCfg(top_k=TOP_K), split=test, model=model)
+    return run.base.select("ClientID", "ProductID", "affinity_score", "collab_score", "content_score",
+                           "popularity_score", "hybrid_score", "rank")
