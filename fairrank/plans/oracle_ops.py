@@ -44,6 +44,26 @@ TABLE_COLS = {
 }
 
 
+@oracle("ingested_transactions", ["SalesNetAmountEuro"])
+def _():
+    return """
+    SELECT ClientID, ProductID, CASE WHEN m = 4 THEN NULL ELSE date_trunc('second', SaleTransactionDate) END AS SaleTransactionDate,
+           StoreID, CASE WHEN m IN (1, 2) THEN NULL ELSE Quantity END AS Quantity,
+           CASE WHEN m = 3 THEN NULL ELSE CAST(SalesNetAmountEuro AS DOUBLE) END AS SalesNetAmountEuro
+    FROM (SELECT *, ((Quantity % 5) + 5) % 5 AS m FROM transactions_raw)"""
+
+
+@oracle("contract_violations")
+def _():
+    parts = []
+    for t, pk in (("clients", ["ClientID"]), ("products", ["ProductID"]), ("stores", ["StoreID"]),
+                  ("stocks", ["StoreCountry", "ProductID"])):
+        listed = str(pk).replace("'", "''")
+        parts.append(f"""SELECT '{t}' AS "table", 'primary key {listed} has ' || sum(n) || ' duplicate rows' AS error
+                         FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(pk)}) WHERE n > 1 HAVING sum(n) > 0""")
+    return "\nUNION ALL\n".join(parts)
+
+
 @oracle("canonical_null_percent", ["null_percent"])
 def _():
     return "\nUNION ALL\n".join(

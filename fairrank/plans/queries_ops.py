@@ -12,7 +12,7 @@ from fairrank.plans.queries_reco import LABEL_DAYS, _focus_run, _run, _split, _w
 from fairrank.plans.pipeline import canonical_tables, interactions_from_canonical
 from fairrank.plans.recommend import run_recommendations
 from fairrank.plans.registry import Context, query
-from fairrank.sources.contracts import CONTRACTS
+from fairrank.sources.contracts import CONTRACTS, contract_errors, read_csv_with_contract
 from fairrank.sources.tables import materialize, table_path, write_ordered
 
 TOP_N = 5
@@ -33,6 +33,33 @@ def q_canonical_report(ctx: Context):
     return quality.canonical_report(t, pks, {n: dedupe.dedupe_table(n, df, pks[n]) for n, df in t.items()})
 
 
+@query("ingested_transactions")
+def q_ingest(ctx: Context):
+    """The transactions as CSV text with padding and bad values, read under their contract."""
+    q = F.pmod("Quantity", F.lit(5))
+    text = ctx.domain["transactions"].select(
+        F.format_string(" %d ", "ClientID").alias("ClientID"), F.format_string("%d.0", "ProductID").alias("ProductID"),
+        F.when(q == 4, F.lit("not a date")).otherwise(
+            F.concat(F.lit(" "), F.date_format("SaleTransactionDate", "yyyy-MM-dd HH:mm:ss"))).alias("SaleTransactionDate"),
+        F.col("StoreID").cast("string").alias("StoreID"),
+        F.when(q == 0, F.format_string(" %d.0", "Quantity")).when(q == 1, F.lit("n/a"))
+         .when(q == 2, F.format_string("%d.5", "Quantity")).otherwise(F.col("Quantity").cast("string")).alias("Quantity"),
+        F.when(q == 3, F.lit("nan")).otherwise(F.col("SalesNetAmountEuro").cast("string")).alias("SalesNetAmountEuro"))
+    path = table_path(ctx.spark, ctx.sf_dir, f"transactions_csv_{uuid.uuid4().hex}")
+    text.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv_with_contract(ctx.spark, path, CONTRACTS["transactions"])
+
+
+@query("contract_violations")
+def q_violations(ctx: Context):
+    """Q5: contract errors of the canonical tables."""
+    out = None
+    for name, df in ctx.canonical.items():
+        r = contract_errors(df, CONTRACTS[name]).select(F.lit(name).alias("table"), "error")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("canonical_null_percent")
 def q_canonical_nulls(ctx: Context):
     """Q2/Q6: NULL percentage of every column of the canonical tables."""
