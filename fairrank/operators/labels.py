@@ -16,12 +16,15 @@ the first ``n`` - work linear in the output plus the client's history.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairrank.config import PAIR_FILL_DEFAULTS, PRODUCT_IDENTITY, SplitCfg
 from fairrank.functions.columns import clip_lower0, is_numeric
 from fairrank.operators import features as feats
+from fairrank.sources.tables import materialize
 
 PAIR = ["ClientID", "ProductID"]
 # "none" draws by hashed rank where the catalog holds over PROBE_FACTOR (n + b) products: a draw
@@ -175,6 +178,10 @@ def _random_unblocked(demand: DataFrame, pop: DataFrame, blocked: DataFrame, see
     return first.select(*cols).unionByName(ordered.select(*cols))
 
 
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    return materialize(df, "splits", f"{name}-{uuid.uuid4().hex}")
+
+
 def negatives(history: DataFrame, pos: DataFrame, negatives_per_pos: int = 5,
               hard_mode: str = "pop_in_prefcat", seed: int = 42,
               cap_negatives: int | None = None) -> DataFrame:
@@ -183,7 +190,9 @@ def negatives(history: DataFrame, pos: DataFrame, negatives_per_pos: int = 5,
     if hard_mode not in ("none", "pop", "pop_in_prefcat"):
         raise ValueError(f"unknown hard negative mode {hard_mode}")
     blocked, demand = _negative_demand(pos, history, negatives_per_pos, cap_negatives)
-    pop = product_popularity(history)
+    # each is read several times below
+    blocked, demand = _stage(blocked, "blocked"), _stage(demand, "demand")
+    pop = _stage(product_popularity(history), "popularity")
     n_cat = pop.agg(F.count(F.lit(1)).alias("n_catalog"))
     demand = demand.crossJoin(F.broadcast(n_cat)).where(F.col("n") > 0)  # single-row scalar
     depth = F.least(F.col("n") + F.col("b"), F.col("n_catalog"))
@@ -264,14 +273,18 @@ def assemble_dataset(candidates: DataFrame, window: DataFrame, features: dict[st
 
 
 def build_split_dataset(full: DataFrame, cfg: SplitCfg) -> DataFrame:
-    """history/window -> candidates -> features at the cutoff -> dataset."""
+    """history/window -> candidates -> features at the cutoff -> dataset.
+
+    User and pair features depend on a client's own rows alone, so they are
+    built for the clients that have candidates."""
     history, window = history_window(full, cfg.cutoff, cfg.label_days)
-    cand = build_candidates(history, window, cfg.negatives_per_pos, cfg.hard_negatives,
-                            cfg.random_state, cfg.cap_negatives)
+    cand = _stage(build_candidates(history, window, cfg.negatives_per_pos, cfg.hard_negatives,
+                                   cfg.random_state, cfg.cap_negatives), "candidates")
+    theirs = full.join(cand.select("ClientID").distinct(), "ClientID", "left_semi")
     fts = {
-        "user": feats.user_features(full, cfg.cutoff),
+        "user": feats.user_features(theirs, cfg.cutoff),
         "product": feats.product_features(full, cfg.cutoff),
-        "cp": feats.client_product_recency(full, cfg.cutoff),
+        "cp": feats.client_product_recency(theirs, cfg.cutoff),
         "category": feats.category_features(full, cfg.cutoff),
     }
     return assemble_dataset(cand, window, fts, cfg.pos_target)

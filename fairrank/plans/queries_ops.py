@@ -165,11 +165,17 @@ def q_search(ctx: Context):
     return cooccur.search_catalog(_catalog(ctx), "economy")
 
 
+def _cooccurrence(ctx: Context):
+    """R10 for every product bought in the test window, written once for all that read it."""
+    hist, window = _window(ctx)
+    return ctx._memo("cooccurrence", lambda: materialize(
+        cooccur.item_cooccurrence(hist, window.select("ProductID")), ctx.sf_dir, "cooccurrence"))
+
+
 @query("item_cooccurrence")
 def q_cooc(ctx: Context):
     """Top-5 'bought together' items for every product bought in the test window."""
-    hist, window = _window(ctx)
-    return cooccur.top_n_per(cooccur.item_cooccurrence(hist, window.select("ProductID")), "SeedID", TOP_N)
+    return cooccur.top_n_per(_cooccurrence(ctx), "SeedID", TOP_N)
 
 
 @query("category_recommendations")
@@ -183,14 +189,13 @@ def q_cat_recs(ctx: Context):
 def q_cart_recs(ctx: Context):
     """carts = each client's test-window purchases; top-5 related items."""
     hist, _ = _window(ctx)
-    return cooccur.cart_recommendations(hist, _window_carts(ctx), TOP_N, 50)
+    return cooccur.cart_recommendations(hist, _window_carts(ctx), TOP_N, 50, _cooccurrence(ctx))
 
 
 @query("similar_to_seed")
 def q_similar(ctx: Context):
     """Family / category fallback filter over all co-occurring items, then top-5."""
-    hist, window = _window(ctx)
-    recs = cooccur.similar_to_seed(cooccur.item_cooccurrence(hist, window.select("ProductID")), _catalog(ctx))
+    recs = cooccur.similar_to_seed(_cooccurrence(ctx), _catalog(ctx))
     return cooccur.top_n_per(recs, "SeedID", TOP_N).select("SeedID", "ProductID", "co_users", "score", "rank")
 
 
@@ -198,7 +203,7 @@ def q_similar(ctx: Context):
 def q_cart_cat(ctx: Context):
     """Cart recommendations narrowed to the cart's categories, popular backfill."""
     hist, _ = _window(ctx)
-    return cooccur.cart_category_narrowing(hist, _window_carts(ctx), _catalog(ctx), 12)
+    return cooccur.cart_category_narrowing(hist, _window_carts(ctx), _catalog(ctx), 12, _cooccurrence(ctx))
 
 
 # --- monitoring -------------------------------------------------------------------------
