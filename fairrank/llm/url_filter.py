@@ -2,13 +2,15 @@
 
 A rule is a host followed by a path prefix; it fits the host and its subdomains, and of the
 rules that fit a page the longest decides.  Hosts most of whose pages are settled by rules are
-seeds.  Trust is the personalised PageRank from trusted seeds along links between hosts; distrust
-is the same from blocked seeds against the links (who links to a blocked host is suspect).  A
-page without a rule is blocked if its host's distrust is above ``THRESHOLD`` and above its trust.
+seeds of mass 1 each.  Trust is the personalised PageRank from trusted seeds along links between
+hosts; distrust is the same from blocked seeds against the links (who links to a blocked host is
+suspect).  Neither is normalised: a host's ranks depend on the hosts it is linked with, not on the
+size of the table.  A page without a rule is blocked if its host's distrust is above ``THRESHOLD``
+and above its trust.
 
 Edges are distinct host pairs, counted map-side, so a host with a third of all pages is one row
 per task; ranks are tables that are joined, never collected; each step is written to the shared
-folder, and steps end when the ranks move less than ``TOLERANCE`` or after ``MAX_STEPS``.
+folder, and steps end when less than ``TOLERANCE`` is left to move or after ``MAX_STEPS``.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, has no
 edges and is allowed; null html has no links; links within a host and relative links are no
@@ -32,7 +34,7 @@ MAX_STEPS = 20
 TOLERANCE = 1e-6
 #: Share of a host's pages that rules must settle one way to make it a seed.
 SEED_SHARE = 0.5
-#: Distrust, as a share of all distrust, above which a host may be blocked.
+#: Distrust, where a blocked seed has mass 1, above which a host may be blocked.
 THRESHOLD = 1e-4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,33 +70,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src != dst").distinct()
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = MAX_STEPS,
-                      tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, rank) by power iteration: rank = (1 - damping) seed + damping * inflow, what hosts
-    without out-links hold goes back to the seeds.  ``seeds``: host, weight."""
-    total = seeds.agg(F.sum("weight")).first()[0]
-    if not total:
-        return seeds.select("host", F.col("weight").cast("double").alias("rank")).where("false")
-    seed = staged(seeds.where("weight > 0").select("host", (F.col("weight") / F.lit(float(total))).alias("s")), "seeds")
-    rank = seed.select("host", F.col("s").alias("rank"))
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = MAX_STEPS,
+           tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) by power iteration: rank = (1 - damping) seed weight + damping * inflow; what
+    hosts without out-links hold is lost, so hosts that no link joins do not bear on each other.
+    ``seeds``: host, weight."""
+    # x is what moves on next, p what stayed; all that x can still add anywhere is its own sum
+    state = staged(seeds.where("weight > 0").select("host", F.col("weight").cast("double").alias("x"),
+                                                    F.lit(0.0).alias("p")), "seeds")
     if not edges.limit(1).count():
-        return rank
+        return state.select("host", ((1.0 - damping) * F.col("x")).alias("rank"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = staged(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")), "edges")
-    for _ in range(steps):
-        flow = (weighted.join(rank, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host"))
-                .agg(F.sum(F.col("rank") * F.col("w")).alias("in")))
-        nxt = flow.join(seed, "host", "full").select("host", (damping * F.coalesce("in", F.lit(0.0))).alias("in"),
-                                                     F.coalesce("s", F.lit(0.0)).alias("s"))
-        nxt = staged(nxt, "inflow")
-        left = 1.0 - nxt.agg(F.coalesce(F.sum("in"), F.lit(0.0))).first()[0]
-        nxt = nxt.select("host", (F.col("in") + F.lit(left) * F.col("s")).alias("rank"))
-        moved = nxt.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(
-            F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        rank = nxt
-        if moved < tolerance:
+    for k in range(steps):
+        if (state.agg(F.sum("x")).first()[0] or 0.0) < tolerance:
             break
-    return rank
+        moved = weighted.join(state.where("x > 0"), F.col("src") == F.col("host")).select(
+            F.col("dst").alias("host"), (damping * F.col("x") * F.col("w")).alias("x"), F.lit(0.0).alias("p"))
+        stay = state.select("host", F.lit(0.0).alias("x"), (F.col("p") + (1.0 - damping) * F.col("x")).alias("p"))
+        state = staged(moved.union(stay).groupBy("host").agg(F.sum("x").alias("x"), F.sum("p").alias("p")), "ranks")
+    return state.select("host", (F.col("p") + F.col("x")).alias("rank"))
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = MAX_STEPS,
+                      tolerance: float = TOLERANCE) -> DataFrame:
+    """``spread`` from seed weights made to sum to 1."""
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0
+    shares = seeds.select("host", (F.col("weight") / F.lit(float(total))).alias("weight"))
+    return spread(edges, shares, damping, steps, tolerance)
 
 
 def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -107,11 +110,11 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"),
         F.count_if(F.col("ruled") == "block").alias("bad")), "hosts")
     edges = staged(host_edges(p.select("host", "html")), "host-edges")
-    good = hosts.where(F.col("good") >= SEED_SHARE * F.col("n")).select("host", F.col("good").alias("weight"))
-    bad = hosts.where(F.col("bad") >= SEED_SHARE * F.col("n")).select("host", F.col("bad").alias("weight"))
-    trust = personalised_rank(edges, good).withColumnRenamed("rank", "trust")
+    good = hosts.where(F.col("good") >= SEED_SHARE * F.col("n")).select("host", F.lit(1.0).alias("weight"))
+    bad = hosts.where(F.col("bad") >= SEED_SHARE * F.col("n")).select("host", F.lit(1.0).alias("weight"))
+    trust = spread(edges, good).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = personalised_rank(back, bad).withColumnRenamed("rank", "distrust")
+    distrust = spread(back, bad).withColumnRenamed("rank", "distrust")
     by_host = trust.join(distrust, "host", "full").withColumnRenamed("host", "h")
     by_host = staged(by_host.select("h", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]), "ranks")
     out = p.drop("html").join(by_host, F.col("host") == F.col("h"), "left")

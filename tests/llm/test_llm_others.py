@@ -139,6 +139,30 @@ def test_distrust_flows_back_along_links(spark):
     assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "block", "allow", "allow"] and got[3].trust > 0
 
 
+def link(*hosts):
+    return "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+
+
+def test_verdicts_do_not_depend_on_size(spark):
+    # five hosts link to each blocked one; m hears from a trusted host and links to a blocked one
+    graph = [("b#.net/es/", ""), ("g#.com/", link("m#.org")), ("m#.org/", link("b#.net")), ("u#.org/", "")]
+    graph += [(f"f{i}x#.org/", link("b#.net")) for i in range(4)]
+    one = spark.createDataFrame(graph, "at string, html string")
+
+    def verdicts(copies, trusted):
+        n = F.col("n").cast("string")
+        pages = one.crossJoin(spark.range(copies).toDF("n")).select(F.replace("at", F.lit("#"), n).alias("at"), F.replace("html", F.lit("#"), n).alias("html"))
+        pages = pages.union(spark.range(trusted).selectExpr("concat('t', id, '.com/')", "''"))
+        pages = pages.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "at").alias("url"), "html")
+        got = url_filter.judge_pages(pages).where("not startswith(host, 't')").groupBy(F.regexp_replace("host", r"\d+\.", ".").alias("h"), "verdict").count()
+        return {(r.h, r.verdict): r["count"] / copies for r in got.collect()}
+
+    want = {("b.net", "block"): 1, ("g.com", "allow"): 1, ("m.org", "allow"): 1, ("u.org", "allow"): 1, **{(f"f{i}x.org", "block"): 1 for i in range(4)}}
+    assert verdicts(1, 0) == want
+    assert verdicts(1, 50) == want
+    assert verdicts(4000, 0) == want
+
+
 # Chats -----------------------------------------------------------------------------------------
 
 def test_chats(spark, tmp_path):
