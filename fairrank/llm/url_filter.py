@@ -10,7 +10,8 @@ and above its trust.
 
 Edges are distinct host pairs, counted map-side, so a host with a third of all pages is one row
 per task; ranks are tables that are joined, never collected; each step is written to the shared
-folder, and steps end when less than ``TOLERANCE`` is left to move or after ``MAX_STEPS``.
+folder, and steps end when less than ``TOLERANCE`` is left to move over all hosts; ranks that have
+not settled after ``MAX_STEPS`` are an error.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, has no
 edges and is allowed; null html has no links; links within a host and relative links are no
@@ -30,7 +31,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 #: Rules become one expression; more of them would need a join.
 MAX_RULES = 500
 DAMPING = 0.85
-MAX_STEPS = 20
+#: Mass falls by the damping at each step: enough for a hundred million seeds.
+MAX_STEPS = 200
 TOLERANCE = 1e-6
 #: Share of a host's pages that rules must settle one way to make it a seed.
 SEED_SHARE = 0.5
@@ -70,11 +72,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src != dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = MAX_STEPS,
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = None,
            tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank) by power iteration: rank = (1 - damping) seed weight + damping * inflow; what
     hosts without out-links hold is lost, so hosts that no link joins do not bear on each other.
-    ``seeds``: host, weight."""
+    ``seeds``: host, weight.  With ``steps``, the iterate after that many."""
     # x is what moves on next, p what stayed; all that x can still add anywhere is its own sum
     state = staged(seeds.where("weight > 0").select("host", F.col("weight").cast("double").alias("x"),
                                                     F.lit(0.0).alias("p")), "seeds")
@@ -82,17 +84,20 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
         return state.select("host", ((1.0 - damping) * F.col("x")).alias("rank"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = staged(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")), "edges")
-    for k in range(steps):
+    for k in range(MAX_STEPS if steps is None else steps):
         if (state.agg(F.sum("x")).first()[0] or 0.0) < tolerance:
             break
         moved = weighted.join(state.where("x > 0"), F.col("src") == F.col("host")).select(
             F.col("dst").alias("host"), (damping * F.col("x") * F.col("w")).alias("x"), F.lit(0.0).alias("p"))
         stay = state.select("host", F.lit(0.0).alias("x"), (F.col("p") + (1.0 - damping) * F.col("x")).alias("p"))
         state = staged(moved.union(stay).groupBy("host").agg(F.sum("x").alias("x"), F.sum("p").alias("p")), "ranks")
+    else:
+        if steps is None:
+            raise RuntimeError(f"ranks did not settle in {MAX_STEPS} steps")
     return state.select("host", (F.col("p") + F.col("x")).alias("rank"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = MAX_STEPS,
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = None,
                       tolerance: float = TOLERANCE) -> DataFrame:
     """``spread`` from seed weights made to sum to 1."""
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0

@@ -163,6 +163,23 @@ def test_verdicts_do_not_depend_on_size(spark):
     assert verdicts(4000, 0) == want
 
 
+def test_ranks_settle(spark, monkeypatch):
+    chain = [("b.net", "")] + [(f"h{i}.org", link("b.net" if i == 1 else f"h{i - 1}.org")) for i in range(1, 41)]
+    pages = spark.createDataFrame([(i, f"http://{h}/es/", t) for i, (h, t) in enumerate(chain)], "page_id int, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_pages(pages).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert np.allclose([got[i].distrust for i in range(41)], [0.15 * 0.85 ** i for i in range(41)], atol=1e-6)
+    # a cycle of two: (I - 0.85 M) rank = 0.15 seed
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, weight double")
+    m = np.array([[0, .5, 0], [1, 0, 0], [0, .5, 0]])
+    ranks = dict(map(tuple, url_filter.personalised_rank(edges, seeds).collect()))
+    assert np.allclose([ranks[h] for h in "abc"], np.linalg.solve(np.eye(3) - 0.85 * m, [0.15, 0, 0]), atol=1e-6)
+    monkeypatch.setattr(url_filter, "MAX_STEPS", 5)
+    with pytest.raises(RuntimeError):
+        url_filter.personalised_rank(edges, seeds)
+
+
 # Chats -----------------------------------------------------------------------------------------
 
 def test_chats(spark, tmp_path):
