@@ -1,8 +1,8 @@
 """URL filters: rules first, link-graph propagation for the rest.
 
 A rule is a host followed by a path prefix; it fits the host and its subdomains, and of the
-rules that fit a page the longest decides.  Hosts most of whose pages are settled by rules are
-seeds of mass 1 each.  Trust is the personalised PageRank from trusted seeds along links between
+rules that fit a page the longest decides.  Every host with allowed (or blocked) pages is a
+trusted (or blocked) seed whose mass is their share of its pages.  Trust is the personalised PageRank from trusted seeds along links between
 hosts; distrust is the same from blocked seeds against the links (who links to a blocked host is
 suspect).  Neither is normalised: a host's ranks depend on the hosts it is linked with, not on the
 size of the table.  A page without a rule is blocked if its host's distrust is above ``THRESHOLD``
@@ -34,9 +34,7 @@ DAMPING = 0.85
 #: Mass falls by the damping at each step: enough for a hundred million seeds.
 MAX_STEPS = 200
 TOLERANCE = 1e-6
-#: Share of a host's pages that rules must settle one way to make it a seed.
-SEED_SHARE = 0.5
-#: Distrust, where a blocked seed has mass 1, above which a host may be blocked.
+#: Distrust, where a host with only blocked pages has mass 1, above which a host may be blocked.
 THRESHOLD = 1e-4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,8 +113,8 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"),
         F.count_if(F.col("ruled") == "block").alias("bad")), "hosts")
     edges = staged(host_edges(p.select("host", "html")), "host-edges")
-    good = hosts.where(F.col("good") >= SEED_SHARE * F.col("n")).select("host", F.lit(1.0).alias("weight"))
-    bad = hosts.where(F.col("bad") >= SEED_SHARE * F.col("n")).select("host", F.lit(1.0).alias("weight"))
+    good = hosts.select("host", (F.col("good") / F.col("n")).alias("weight"))
+    bad = hosts.select("host", (F.col("bad") / F.col("n")).alias("weight"))
     trust = spread(edges, good).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     distrust = spread(back, bad).withColumnRenamed("rank", "distrust")

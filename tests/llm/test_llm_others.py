@@ -180,6 +180,22 @@ def test_ranks_settle(spark, monkeypatch):
         url_filter.personalised_rank(edges, seeds)
 
 
+def test_every_host_with_blocked_pages_is_a_seed(spark):
+    # 2 of 10 pages blocked; n links there; of r's 2,000 pages 1 is blocked, of t's 1 blocked and 2 allowed
+    pages = [(f"part.net/{'es' if i < 2 else 'x'}/", "") for i in range(10)] + [("n.org/", link("part.net"))]
+    pages += [(f"rare.net/{'fr' if i == 0 else 'x'}/", "") for i in range(2000)]
+    pages += [("t.example.com/en/", ""), ("t.example.com/", ""), ("www.example.com/en/", "")]
+    pages = [(i, f"http://{u}", h) for i, (u, h) in enumerate(pages)]
+    got = url_filter.judge_pages(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    by = {(r.host, r.verdict): r["count"] for r in got.where("rule is null or rule != 'com/'").groupBy("host", "verdict").count().collect()}
+    assert by == {("part.net", "block"): 10, ("n.org", "block"): 1, ("rare.net", "block"): 1, ("rare.net", "allow"): 1999,
+                  ("t.example.com", "block"): 1, ("www.example.com", "allow"): 1}
+    ranks = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    alone = url_filter.judge_pages(spark.createDataFrame(pages[:10], "page_id int, url string, html string"))
+    assert {(r.trust, r.distrust) for r in alone.collect()} == {ranks["part.net"]}
+    assert np.allclose(ranks["part.net"], (0, 0.15 * 0.2)) and np.allclose(ranks["n.org"], (0, 0.15 * 0.85 * 0.2))
+
+
 # Chats -----------------------------------------------------------------------------------------
 
 def test_chats(spark, tmp_path):
