@@ -104,6 +104,18 @@ def test_benchmark_in_blocks(spark, small):
     assert rows(decontaminate.hits(docs, bench, block_windows=2)) == rows(decontaminate.hits(docs, bench))
 
 
+def test_window_of_more_items_than_a_block(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.union(docs.where("doc_id in (10, 11)")).union(docs.where("doc_id = 10").selectExpr("null", "text", "lang", "source", "n_chars"))
+    bench = spark.createDataFrame([*ITEMS, (None, "short item"), *[(i, "Word") for i in range(100, 120)], (200, None)], "item_id bigint, text string")
+    want = rows(decontaminate.hits(docs, bench))
+    assert [r[1:4] for r in want if r[0] == 8] == [(1, 1, 20)]
+    left = rows(decontaminate.drop_contaminated(docs, bench))
+    for n in (1, 2, 3):
+        assert rows(decontaminate.hits(docs, bench, block_windows=n)) == want
+        assert rows(decontaminate.drop_contaminated(docs, bench, block_windows=n)) == left
+
+
 def test_wu_manber_against_every_position():
     r = np.random.default_rng(0)
     for _ in range(200):
