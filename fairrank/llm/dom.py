@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-#: Elements without content, elements whose content is no text of the page, and block elements
-#: (fixed values of the HTML standard).
+#: Elements without content, elements whose content is no text of the page, those in which any
+#: element may close itself, and block elements (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
 search section summary table tbody td tfoot th thead tr ul""".split())
@@ -80,7 +81,7 @@ class Page:
                 self._close_open(stack, close, *_SAME[name])
             words = tuple(w.lower() for _, v in _ATTR.findall(attrs) for w in _PART.findall(v)) if "=" in attrs else ()
             i = self._add(stack, children, name, "", words)
-            if name in RAW:
+            if name in RAW and not (attrs.endswith("/>") and any(tags[k] in FOREIGN for k in stack)):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else n
             elif name not in VOID and not attrs.endswith("/>"):

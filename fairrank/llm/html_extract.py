@@ -28,6 +28,8 @@ from fairrank.llm.html_templates import MARK, training_pages
 from fairrank.llm.trees import BoostedTrees
 
 TRAINING_PAGES = 700
+#: Training pages with embedded elements, next to those.
+EMBEDDED_PAGES = 100
 #: Pages that are scored together.
 BATCH = 200
 
@@ -130,8 +132,8 @@ def _labels(page: Page) -> list[int]:
 
 
 class Extractor:
-    def __init__(self, n_pages: int = TRAINING_PAGES):
-        pages = [Page(h) for h in training_pages(n_pages)]
+    def __init__(self, n_pages: int = TRAINING_PAGES, n_embedded: int = EMBEDDED_PAGES):
+        pages = [Page(h) for h in training_pages(n_pages, n_embedded)]
         labels = [_labels(p) for p in pages]
         tags, words = Odds(), Odds()
         for p, y in zip(pages, labels):

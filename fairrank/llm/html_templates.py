@@ -24,8 +24,11 @@ SHARE = "share social sharing follow buttons".split()
 
 
 class Writer:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, embedded: bool = False):
         self.r = random.Random(seed)
+        #: Embedded elements are drawn apart, so that the other layouts stay as they are.
+        self.e = random.Random(f"embedded {seed}")
+        self.embed = embedded
 
     def words(self, low: int, high: int) -> str:
         r, out = self.r, []
@@ -47,7 +50,26 @@ class Writer:
         return f' {r.choice(["class", "class", "id"])}="{name}"'
 
     def links(self, low: int, high: int) -> str:
-        return "".join(f'<li><a href="/{i}">{self.words(1, 5)}</a></li>' for i in range(self.r.randint(low, high)))
+        return "".join(f'<li><a href="/{i}">{self.icon() if self.embed and self.e.random() < 0.1 else ""}{self.words(1, 5)}</a></li>'
+                       for i in range(self.r.randint(low, high)))
+
+    def icon(self) -> str:
+        return self.e.choice(["<svg class='icon' width=16/>", "<svg class=icon><title>icon</title><path d='M0 0'/></svg>",
+                              "<svg viewBox='0 0 1 1'><style/><use href='#x'/></svg>", "<svg><text>ok</text></svg>"])
+
+    def embedded(self) -> str:
+        """A piece of an article in an element that embeds something."""
+        m = MARK
+        word = "".join(self.e.choice(_PARTS) for _ in range(3))
+        more = " ".join("".join(self.e.choice(_PARTS) for _ in range(2)) for _ in range(self.e.randint(4, 20)))
+        return self.e.choice([
+            f"<p>{m}{word} <math><mi>{m}x</mi><mo>{m}=</mo><mn>{m}{self.e.randint(1, 99)}</mn></math> {m}{more}.</p>",
+            f"<p>{m}{more} <math/> {m}{word}.</p>", f"<object data='{word}.bin'><p>{m}{more}.</p></object>",
+            f"<object data='{word}.bin'>{m}{more}.", f"<canvas id={word}>{m}{more}</canvas>", f"<canvas><p>{m}{more}.</p>"])
+
+    def choice_box(self) -> str:
+        options = "".join(f"<option>{''.join(self.e.choice(_PARTS) for _ in range(2))}" for _ in range(self.e.randint(2, 9)))
+        return f"<select name=s>{options}" + self.e.choice(["</select>", ""])
 
     def menu(self) -> str:
         r = self.r
@@ -75,6 +97,8 @@ class Writer:
 
     def form(self) -> str:
         box = f"<label>{self.words(1, 4)}</label><input name=q><button>{self.words(1, 2)}</button>"
+        if self.embed and self.e.random() < 0.3:
+            box += self.choice_box()
         return f"<form{self.attrs(FORM, 0.6)}>{self.r.choice(['', f'<p>{self.sentences(1, 3)}</p>'])}{box}</form>"
 
     def comments(self) -> str:
@@ -108,6 +132,9 @@ class Writer:
                 out.append(r.choice([f"<p>{text}", f"<p><b>{text}<br>"]))
             else:
                 out.append({"p": f"<p>{text}</p>", "div": f"<div>{text}</div>", "br": f"{text}<br><br>"}.get(style, f"<p>{text}"))
+        for k in range(len(out) - 1, -1, -1):
+            if self.embed and self.e.random() < 0.06:
+                out.insert(k + 1, self.embedded() if self.e.random() < 0.7 else f"<p>{m}{self.e.choice(_PARTS)} {self.icon()}{m}{self.e.choice(_PARTS)}.</p>")
         return "".join(out)
 
     def page(self) -> str:
@@ -134,5 +161,6 @@ class Writer:
         return page[:int(len(page) * r.uniform(0.5, 1))] if r.random() < 0.08 else page
 
 
-def training_pages(n: int) -> list[str]:
-    return [Writer(seed).page() for seed in range(n)]
+def training_pages(n: int, embedded: int = 0) -> list[str]:
+    """``n`` pages, and ``embedded`` more with icons, formulas, objects, canvases and selects."""
+    return [Writer(seed).page() for seed in range(n)] + [Writer(seed, True).page() for seed in range(n, n + embedded)]

@@ -69,6 +69,35 @@ def test_odd_pages(spark):
     assert tree.render([True] * len(tree.tag)) == "ab c <x> d"
 
 
+def test_unseen_layouts_with_embedded_elements():
+    ex, score = html_extract.extractor(), []
+    for seed in range(10**6, 10**6 + 120):
+        page = Writer(seed, embedded=True).page()
+        tree = html_extract.Page(page)
+        assert "".join(tree.text).count(MARK) == page.count(MARK)
+        marked = html_extract._labels(tree)
+        want = tree.render([bool(v) or t == " " for v, t in zip(marked, tree.text)]).split()
+        got = ex.extract([page.replace(MARK, "")])[0].split()
+        both = len(set(want) & set(got))
+        score.append(2 * both / max(1, len(set(want)) + len(set(got))))
+    assert np.mean(score) > 0.95
+
+
+def test_embedded_elements_do_not_end_the_page():
+    page = ("<body><nav><ul><li><a href='/'><svg class=i width=1/>Home</a></li><li><a href='/b'><svg><title>no</title><style/><path d=''/></svg>Blog</a></li></ul></nav>"
+            "<article><h1>A title of the page</h1><p>The first words of the article, which go on for a while.</p>{}<p>The last words of the article, after the embedded one.</p>"
+            "</article><footer>Imprint</footer></body>")
+    tree = html_extract.Page("a<svg/>b<math/>c<svg><title>t</title><style/>d</svg><script>x</script>e<object>f<select><option>g<canvas>h")
+    assert "".join(tree.text) == "abcdefgh"
+    first, last = "The first words of the article, which go on for a while.", "The last words of the article, after the embedded one."
+    cases = {"<p>Some <svg/> more of the words here.</p>": "Some more of the words here.", "<p>So <math><mi>x</mi><mo>=</mo><mn>7</mn></math> holds for all of it.</p>": "So x=7 holds for all of it.",
+             "<p>It is <math/> what was to be shown here.</p>": "It is what was to be shown here.", "<object data=a><p>The fallback text of the object here.</p></object>": "The fallback text of the object here.",
+             "<canvas>": "", "<object data=b>": ""}
+    got = html_extract.extractor().extract([page.format(c) for c in cases])
+    for text, c in zip(got, cases.values()):
+        assert " ".join(x for x in (first, c, last) if x) in text and "Home" not in text and "Imprint" not in text
+
+
 # Search ----------------------------------------------------------------------------------------
 
 def brute(ids, vectors, q, k=5):
