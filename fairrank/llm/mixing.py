@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairrank.llm.common import pick, staged
+from fairrank.llm.common import pick, positional, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -149,8 +149,13 @@ def mix_sources(documents: DataFrame, carry: tuple[str, ...] = (), id_col: str =
                       "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def repeat_documents(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: every document as often as its copies say.  Ids must be unique."""
-    plan = pick(mixed, ["doc_id", "copies"]).toDF("_id", "_n").where("_n > 0")
-    both = documents.join(plan, documents[id_col] == F.col("_id"))
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*documents.columns)
+def mix_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The mix itself: every row of the documents, whole, as often as its copies say.  Rows are told
+    apart by a number, so null and repeated ids are rows like any other; the text is written once."""
+    flat, at = positional(documents)
+    flat = staged(flat.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    plan = mix_sources(flat, ("_row",), at[id_col], at[text_col], at[source_col], weights, max_repeat)
+    plan = plan.where("copies > 0").select("_row", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_times"))
+    both = flat.join(plan, "_row").withColumn("_i", F.explode("_times"))
+    return both.drop("_row", "_times", "_i").toDF(*documents.columns)

@@ -197,6 +197,21 @@ def test_mixing_cuts_by_histogram_like_by_order(spark, monkeypatch):
     assert all(abs(x.t - x.w) <= 20 and x.c <= 3 for x in by.collect())
 
 
+def test_mix_repeats_whole_rows(spark):
+    docs = spark.range(300).selectExpr("if(id % 5 = 0, null, id % 40) doc_id", "repeat(concat('w', id % 7, ' '), cast(1 + id % 9 as int)) text",
+                                       "concat('s', id % 6) source", "id n")
+    wide = clashing(docs.union(docs.where("n < 30")).union(docs.where("n < 30").withColumn("text", F.lit(None).cast("string"))))
+    plan = mixing.mix_sources(wide, carry=("n",)).collect()
+    want = sorted(((r.doc_id, r.source, r.n) for r in plan for _ in range(r.copies)), key=repr)
+    assert {r.copies for r in plan} >= {0, 1, 2} and any(r.doc_id is None and r.copies for r in plan)
+    mix = mixing.mix_documents(wide)
+    assert mix.columns == wide.columns
+    got = mix.toDF(*[f"c{i}" for i in range(len(mix.columns))]).select("c0", "c1", "c2", "c3")
+    assert rows(got.select("c0", "c2", "c3")) == want
+    assert set(rows(got)) <= set(rows(wide.toDF(*[f"c{i}" for i in range(len(wide.columns))]).select("c0", "c1", "c2", "c3")))
+    assert mixing.mix_documents(wide.where("false")).count() == 0
+
+
 def test_mixing_caps_and_reshares(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 90)], "source string, source_size bigint")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
