@@ -6,9 +6,11 @@ excess is reshared by weight until none is above.  With r = target / size, every
 source is first taken floor(r) whole times.  The rest is a Pareto order sample: documents rank
 by the odds of a random number over the odds of their inclusion probability r - floor(r), which
 differs from source to source, and the lowest ranks are taken while their words fit the rest of
-the target.  The document that no longer fits is passed over, and the documents after it that
-fit what is left go on in the same order (``SAMPLE_ROUNDS`` times).  One more document closes
-the gap if that comes nearer: of those not sampled, the one whose size is nearest to it.  The random number is a hash of id and text, so
+the target.  Within a source that probability is one number, so there the Pareto order is the order
+of the random numbers: the sample is a simple random one per source.  The document that no longer
+fits is passed over, and the documents after it that fit what is left go on in the same order
+(``SAMPLE_ROUNDS`` times).  One more document closes the gap if that comes nearer: of those not
+sampled, the one whose size is nearest to it.  The random number is a hash of id and text, so
 reruns agree.
 
 The cut in a source's order is found without sorting it: ranks are integers, and histograms of
