@@ -108,5 +108,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
+REPAIR = r"""
+WITH RECURSIVE k AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, turn, coalesce(role, ' ') AS role,
+    coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+-- CRC-32: each byte is shifted out by eight steps
+crc AS (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(s, ''), lambda x: ord(x)::BIGINT), lambda c, b:
+    list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295)) % 20 AS how FROM k),
+d AS (SELECT k, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) AS n FROM crc WHERE how <> 0),
+r0 AS (SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, n) AS i,
+    row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, n) > 1 AS again FROM d),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY k ORDER BY i) AS before FROM r0),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n,
+    count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY k),
+st(p, ini, q, name) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+ins(p, q, c, a, t) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']),
+    (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:'])),
+e AS (SELECT k, i, p, q, 5 * (fault = 't')::INT AS c, 'K' AS a, [role || ':' || text] AS t FROM r JOIN st USING (ini) WHERE fault NOT IN ('b', 'd')
+    UNION ALL SELECT k, i, p, q, 1 + 5 * (fault = 't')::INT, 'R', [name || ':' || text] FROM r, st WHERE fault NOT IN ('b', 'd') AND st.ini <> 's'
+    UNION ALL SELECT k, i, p, p, 2, 'D', []::VARCHAR[] FROM r, (VALUES (0), (1), (2), (3)) z(p)),
+v AS (SELECT k, 0::BIGINT AS i, q, {'c': ins.c, 'a': ins.a, 't': ins.t} AS b FROM (SELECT DISTINCT k FROM k), ins WHERE p = 0
+    UNION ALL SELECT v.k, e.i, n.q, min({'c': v.b.c + e.c + n.c, 'a': v.b.a || e.a || n.a, 't': v.b.t || e.t || n.t})
+    FROM v JOIN e ON e.k = v.k AND e.i = v.i + 1 AND e.p = v.q JOIN ins n ON n.p = e.q GROUP BY v.k, e.i, n.q),
+best AS (SELECT v.k, min(b) AS b FROM v LEFT JOIN counts USING (k) WHERE v.i = coalesce(counts.n, 0) AND q IN (0, 3) GROUP BY v.k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.t, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM k) LEFT JOIN best USING (k) LEFT JOIN counts USING (k)
+"""
+
 ORACLE = {"op2_substring_dedup": SUBSTRING, "op4_source_mixing": MIXING, "op8_line_dedup": LINES,
-          "op9_chat_format": CHATS, "op10_decontamination": DECONTAMINATION}
+          "op9_chat_format": CHATS, "op10_decontamination": DECONTAMINATION,
+          "op13_conversation_repair": REPAIR}
