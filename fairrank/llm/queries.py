@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fairrank.llm import (ann, chat, decontaminate, html_extract, line_dedup, lz_fingerprint, mixing, quality,
-                          repair, simhash, substring_dedup, url_filter)
+                          repair, simhash, substring_dedup, url_filter, whitening)
 from fairrank.llm.common import pick, read_table
 from fairrank.llm.oracle import ORACLE
 
@@ -58,6 +58,10 @@ def op11_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(read_table(spark, sf_dir, "conversations")), gone_col="gone")
 
@@ -65,7 +69,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_html_extract, op2_substring_dedup, op3_quality_classifier, op4_source_mixing, op5_ann_search,
            op6_url_filter, op7_simhash_dedup, op8_line_dedup, op9_chat_format, op10_decontamination, op11_lz_fingerprint,
-           op13_conversation_repair)
+           op12_embedding_whitening, op13_conversation_repair)
     return {f.__name__: f for f in ops}
 
 
