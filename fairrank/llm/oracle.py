@@ -10,29 +10,37 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), {lower}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(lower=_LOWER)
 
 SUBSTRING = r"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
-tok AS (SELECT doc_id, text, generate_subscripts(t, 1) AS i, unnest(t) AS raw
-        FROM (SELECT *, regexp_extract_all(text, '[ \t-\r]*[^ \t-\r]+[ \t-\r]*') AS t FROM d)),
+WITH d AS MATERIALIZED (SELECT *, row_number() OVER () AS k FROM (SELECT DISTINCT doc_id, text FROM documents)),
+tok AS (SELECT k, generate_subscripts(t, 1) AS i, unnest(t) AS raw
+        FROM (SELECT k, regexp_extract_all(text, '[ \t-\r]*[^ \t-\r]+[ \t-\r]*') AS t FROM d)),
 word AS (SELECT *, regexp_extract(raw, '[^ \t-\r]+') AS w FROM tok),
-ends AS (SELECT *, (regexp_matches(w, '[.!?]["'')\]»”]?$') OR contains(regexp_extract(raw, '[ \t-\r]*$'), chr(10)))::INT AS e FROM word),
-sent AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends),
-cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, text, s ORDER BY i) - 1) // 12 AS p FROM sent),
-unit AS (SELECT doc_id, text, min(i) AS a, count(*) AS n, string_agg(raw, '' ORDER BY i) AS raw, string_agg(w, ' ' ORDER BY i) AS norm
-         FROM cut GROUP BY doc_id, text, s, p),
-num AS (SELECT *, row_number() OVER o AS pos, count(*) OVER (PARTITION BY doc_id, text) AS units,
-        lead(norm, 1) OVER o AS n1, lead(norm, 2) OVER o AS n2, coalesce(lead(n, 1) OVER o, 0) AS c1, coalesce(lead(n, 2) OVER o, 0) AS c2
-        FROM unit WINDOW o AS (PARTITION BY doc_id, text ORDER BY a)),
-run AS (SELECT doc_id, text, pos, units, concat_ws(' ', norm, n1, n2) AS s FROM num
-        WHERE units >= 2 AND pos <= units - least(3, units) + 1 AND n + c1 + c2 >= 8),
-seen AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, pos) AS k FROM run),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(pos, least(pos + 3, units + 1))) AS pos FROM seen WHERE k > 1),
-done AS (SELECT u.doc_id, u.text, coalesce(string_agg(u.raw, '' ORDER BY u.pos) FILTER (WHERE g.pos IS NULL), '') AS kept,
+ends AS (SELECT *, ('0x' || md5(w)[1:7])::BIGINT AS h,
+    (regexp_matches(w, '[.!?]["'')\]»”]?$') OR contains(regexp_extract(raw, '[ \t-\r]*$'), chr(10)))::INT AS e FROM word),
+sent AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends),
+pair AS (SELECT k, i, s, raw, w, (h + lag(h) OVER (PARTITION BY k, s ORDER BY i) * 1000003) % 2147483647 AS r FROM sent),
+low AS (SELECT *, coalesce(r < coalesce(least(lag(r, 1) OVER o, lag(r, 2) OVER o, lag(r, 3) OVER o), 2147483647)
+    AND r <= coalesce(least(lead(r, 1) OVER o, lead(r, 2) OVER o, lead(r, 3) OVER o), 2147483647), false)::INT AS b
+    FROM pair WINDOW o AS (PARTITION BY k, s ORDER BY i)),
+part AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY k, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM low),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY k, s, c ORDER BY i) - 1) // 24 AS p FROM part),
+unit AS (SELECT k, min(i) AS a, count(*) AS n, string_agg(raw, '' ORDER BY i) AS raw, string_agg(w, ' ' ORDER BY i) AS norm
+         FROM cut GROUP BY k, s, c, p),
+num AS MATERIALIZED (SELECT *, row_number() OVER o AS pos, sum(n) OVER o AS upto, count(*) OVER (PARTITION BY k) AS units
+        FROM unit WINDOW o AS (PARTITION BY k ORDER BY a)),
+-- a run has three pieces (all, of a text with two) and ends where it has 16 words
+span AS (SELECT x.k, x.pos, min(y.pos) AS e FROM (SELECT k, pos, upto - n AS before,
+        unnest(range(pos + least(3, units) - 1, least(pos + 16, units + 1))) AS e FROM num WHERE units >= 2) x
+    JOIN num y ON y.k = x.k AND y.pos = x.e WHERE y.upto - x.before >= 16 GROUP BY x.k, x.pos),
+run AS (SELECT x.k, x.pos, max(x.e) AS e, string_agg(y.norm, ' ' ORDER BY y.pos) AS s
+    FROM (SELECT *, unnest(range(pos, e + 1)) AS q FROM span) x JOIN num y ON y.k = x.k AND y.pos = x.q GROUP BY x.k, x.pos),
+seen AS (SELECT run.k, pos, e, row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id NULLS LAST, pos) AS nth FROM run JOIN d USING (k)),
+gone AS (SELECT DISTINCT k, unnest(range(pos, e + 1)) AS pos FROM seen WHERE nth > 1),
+done AS (SELECT k, coalesce(string_agg(u.raw, '' ORDER BY u.pos) FILTER (WHERE g.pos IS NULL), '') AS kept,
                 count(g.pos) AS pieces, coalesce(sum(u.n) FILTER (WHERE g.pos IS NOT NULL), 0) AS words
-         FROM num u LEFT JOIN gone g ON u.doc_id IS NOT DISTINCT FROM g.doc_id AND u.text = g.text AND u.pos = g.pos
-         GROUP BY u.doc_id, u.text)
-SELECT d.doc_id, CASE WHEN coalesce(pieces, 0) = 0 THEN d.text ELSE kept END AS text,
+         FROM num u LEFT JOIN gone g USING (k, pos) GROUP BY k)
+SELECT o.doc_id, CASE WHEN coalesce(pieces, 0) = 0 THEN o.text ELSE kept END AS text,
        coalesce(pieces, 0)::BIGINT AS pieces_removed, coalesce(words, 0)::BIGINT AS words_removed
-FROM documents d LEFT JOIN done x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
+FROM documents o LEFT JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND o.text IS NOT DISTINCT FROM d.text LEFT JOIN done USING (k)
 """
 
 MIXING = r"""

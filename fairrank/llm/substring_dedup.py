@@ -1,24 +1,29 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at ``.``, ``!`` or ``?`` before white space, and at line feeds);
-a sentence of more than ``MAX_WORDS`` words is cut into pieces of that many, counted from its
-start, so that long sentences repeat piece by piece.  Every run of ``SPAN`` consecutive pieces
-with at least ``MIN_WORDS`` words is hashed (XXH3, 128 bits, over its words).  Runs are joined
-globally by hash; every piece covered by an occurrence other than the first, by (document id,
-null last; text hash; position), is removed.  A passage of 50 words has five pieces or more, so
-all of it is covered wherever it is repeated.
+A text is cut into sentences (at ``.``, ``!`` or ``?`` before white space, and at line feeds), and
+sentences into pieces where their content says so: after a word whose hash, taken with the word
+before it, is the least within ``REACH`` words of the sentence on both sides.  Such cuts move with
+the words, so a passage that stands at any place of a long sentence, or behind an unfinished one,
+has the same pieces but for those at its edges.  A piece of more than ``MAX_WORDS`` words (periodic
+text has no least hashes) is cut at every ``MAX_WORDS``-th.
+
+A run is ``SPAN`` consecutive pieces, or as many more as it takes to have ``MIN_WORDS`` words.  Every
+run is hashed (XXH3, 128 bits, over its words).  Runs are joined globally by hash; every piece
+covered by an occurrence other than the first, by (document id, null last; text hash; position),
+is removed.
 
 Counts of a hash are pre-aggregated map-side, so a run shared by a third of the documents is one
 row per task; a document's own list of positions is the only thing gathered.
 
 Defined results: null text stays null, empty text stays empty; a text of fewer than ``SPAN``
-pieces, but at least two, is one run; rows equal in id and text are one document (each gets the
-same result); white space after a removed piece goes with it; an empty table gives an empty
-table; other columns pass through, whatever their names.
+pieces, but at least two, is one run if it has ``MIN_WORDS`` words; rows equal in id and text are
+one document (each gets the same result); white space after a removed piece goes with it; an empty
+table gives an empty table; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -31,39 +36,90 @@ from pyspark.sql.types import LongType, StructField, StructType
 from fairrank.llm.common import positional, small_batches, staged
 
 SPAN = 3
-MAX_WORDS = 12
-MIN_WORDS = 8
+REACH = 3
+MAX_WORDS = 24
+MIN_WORDS = 16
+SPACE = " \t\n\r\x0b\x0c"
 _TOKEN = re.compile(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*")
 _ENDS = tuple(".!?") + tuple(e + q for e in ".!?" for q in "\"')]»”")
-
-
-def pieces(text: str, max_words: int = MAX_WORDS) -> list[tuple[str, int, str]]:
-    """(raw text with its white space, words, words joined by one space); the raw texts join to
-    the whole text, unless it has no words."""
-    out, raw, words = [], [], []
-    for token in _TOKEN.findall(text):
-        word = token.strip(" \t\n\r\x0b\x0c")
-        raw.append(token)
-        words.append(word)
-        if len(words) >= max_words or word.endswith(_ENDS) or "\n" in token[len(word):]:
-            out.append(("".join(raw), len(words), " ".join(words)))
-            raw, words = [], []
-    if words:
-        out.append(("".join(raw), len(words), " ".join(words)))
+#: Words whose hash a worker remembers.
+_REMEMBERED = 1 << 19
+
+
+class Cutter:
+    """Cuts texts into pieces; remembers the hashes of words."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        if (h := self.known.get(word)) is None:
+            if len(self.known) >= _REMEMBERED:
+                self.known.clear()
+            h = self.known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
+        return h
+
+    def pieces(self, text: str) -> list[tuple[str, int, str]]:
+        """(raw text with its white space, words, words joined by one space); the raw texts join
+        to the whole text, unless it has no words."""
+        tokens = _TOKEN.findall(text)
+        words = [t.strip(SPACE) for t in tokens]
+        ends = [w.endswith(_ENDS) or "\n" in t[t.rfind(w[-1]) + 1:] for t, w in zip(tokens, words)]
+        stops = self._stops(words, ends)
+        return [("".join(tokens[a:b]), b - a, " ".join(words[a:b])) for a, b in zip([0, *stops], stops)]
+
+    def _stops(self, words: list[str], ends: list[bool]) -> list[int]:
+        """Where pieces end, the end of the text among them."""
+        n = len(words)
+        if not n:
+            return []
+        last = np.array(ends)
+        last[-1] = True
+        # sentence of each word, and the hash of a word with the one before it; none at its first word
+        sentence = np.concatenate(([0], np.cumsum(last[:-1])))
+        h = np.fromiter(map(self._hash, words), np.int64, n)
+        h[1:] = (h[1:] + h[:-1] * 1000003) % 2147483647
+        low = np.ones(n, bool)
+        low[0] = False
+        low[1:] &= sentence[1:] == sentence[:-1]
+        for d in range(1, REACH + 1):
+            if n <= d:
+                break
+            same = (sentence[d:] == sentence[:-d])
+            # the word d before has a hash if it isn't its sentence's first
+            inner = same.copy()
+            inner[0] = False
+            inner[1:] &= sentence[1:n - d] == sentence[:n - d - 1]
+            low[d:] &= ~inner | (h[d:] < h[:-d])
+            low[:-d] &= ~same | (h[:-d] <= h[d:])
+        stops, start = [], 0
+        for at in (np.flatnonzero(low | last) + 1).tolist():
+            stops.extend(range(start + MAX_WORDS, at, MAX_WORDS))
+            stops.append(at)
+            start = at
+        return stops
+
+
+def run_ends(sizes: list[int]) -> list[int]:
+    """For the run that begins at each piece, where it ends; the list is short of those that don't fit."""
+    n, out, end, words = len(sizes), [], 0, 0
+    if n < 2:
+        return out
+    for i in range(n - min(SPAN, n) + 1):
+        while end < n and (end < i + min(SPAN, n) or words < MIN_WORDS):
+            words += sizes[end]
+            end += 1
+        if end < i + min(SPAN, n) or words < MIN_WORDS:
+            break
+        out.append(end)
+        words -= sizes[i]
     return out
 
 
-def runs(units: list[tuple[str, int, str]], span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
+def runs(units: list[tuple[str, int, str]]) -> list[tuple[int, bytes]]:
     """(first piece, 128-bit hash) of every run."""
-    size = min(span, len(units))
-    if size < 2:
-        return []
-    out = []
-    for i in range(len(units) - size + 1):
-        run = units[i:i + size]
-        if sum(u[1] for u in run) >= min_words:
-            out.append((i, xxhash.xxh3_128_digest(" ".join([u[2] for u in run]))))
-    return out
+    words = [u[2] for u in units]
+    return [(i, xxhash.xxh3_128_digest(" ".join(words[i:end]))) for i, end in enumerate(run_ends([u[1] for u in units]))]
 
 
 def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,10 +131,11 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = flat.schema[at[id_col]].dataType.simpleString()
 
     def emit(batches):
+        cutter = Cutter()
         for b in batches:
             rows, starts, digests = [], [], []
             for k, text in enumerate(b.column(2).to_pylist()):
-                for i, d in runs(pieces(text)) if text else ():
+                for i, d in runs(cutter.pieces(text)) if text else ():
                     rows.append(k)
                     starts.append(i)
                     digests.append(d)
@@ -108,13 +165,15 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     schema = flat.drop("_th").schema
 
     def cut(batches):
+        cutter = Cutter()
         for b in batches:
             texts, n_pieces, n_words = [], [], []
             for text, starts in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 gone_words, covered = 0, set()
                 if starts:
-                    units = pieces(text)
-                    covered = {p for s in starts for p in range(s, min(s + SPAN, len(units)))}
+                    units = cutter.pieces(text)
+                    stops = run_ends([u[1] for u in units])
+                    covered = {p for s in starts for p in range(s, stops[s])}
                     gone_words = sum(units[p][1] for p in covered)
                     text = "".join(u[0] for p, u in enumerate(units) if p not in covered)
                 texts.append(text)

@@ -59,6 +59,63 @@ def test_driver_tables_match_sql(spark, name):
     assert ok, msg
 
 
+def test_substring_sql_in_bounded_memory(small):
+    con = duckdb.connect(config={"memory_limit": "2GB", "temp_directory": ""})
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    assert len(con.execute(ORACLE["op2_substring_dedup"]).fetchall()) == len(ROWS)
+
+
+def test_pieces_move_with_the_words():
+    r = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    cutter = substring_dedup.Cutter()
+    for size in (60, 200):
+        passage = [str(x) for x in r.choice(vocab, size)]
+        want = [p[2] for p in cutter.pieces(" ".join(passage))][1:-1]  # pieces at the edges depend on what is around
+        for before in range(0, 30):
+            text = " ".join([*map(str, r.choice(vocab, before)), *passage, *map(str, r.choice(vocab, 9))])
+            got = [p[2] for p in cutter.pieces(text)]
+            inner = [p for p in want[1:-1]]
+            at = got.index(inner[0])
+            assert got[at:at + len(inner)] == inner
+    assert [p[1] for p in cutter.pieces("a " * 100)] == [2, 24, 24, 24, 24, 2]
+    for text in ("", " \n", "\n\na b\n\nc. d", "x", "One. Two! (Three?) four\tfive \x0b"):
+        assert "".join(p[0] for p in cutter.pieces(text)) == (text if text.strip() else "")
+
+
+def planted(r, kind):
+    """(passage of 60 words, what stands before it and after it)"""
+    words = [f"v{i}" for i in r.integers(0, 4000, 60)]
+    if kind == "lines":
+        return "".join(f"{a} {b}\n" for a, b in zip(words[::2], words[1::2])), ""
+    if kind == "sentences":
+        return "".join(" ".join(words[i:i + 10]) + ". " for i in range(0, 60, 10)), "unfinished start of it "
+    return " ".join(words) + " ", ""
+
+
+@pytest.mark.parametrize("kind", ["middle", "sentences", "lines"])
+def test_planted_passages_go_at_every_offset(spark, kind):
+    r = np.random.default_rng(len(kind))
+    docs, want = [], {}
+    for k in range(10):
+        passage, lead = planted(r, kind)
+        mine = [f"v{i}" for i in r.integers(5000, 9000, 80)]
+        docs.append((1000 + k, " ".join(mine[:40]) + ("\n" if kind != "middle" else " ") + passage + " ".join(mine[40:])))
+        other = [f"v{i}" for i in r.integers(9000, 13000, 60 + k)]
+        cut = " ".join(other[:20 + k]) + (" " if kind == "middle" else "\n" if kind == "lines" else ". ") + lead
+        docs.append((2000 + k, cut + passage + " ".join(other[20 + k:])))
+        want[2000 + k] = (passage.split(), other)
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for k in range(10):
+        assert got[1000 + k].pieces_removed == 0
+        passage, other = want[2000 + k]
+        left = got[2000 + k].text.split()
+        # all inner words go; pieces at the edges may hold words of both
+        edge = {"middle": 14, "sentences": 10, "lines": 0}[kind]
+        assert not set(passage[edge:60 - edge]) & (set(left) - set(passage[:edge]) - set(passage[60 - edge:]))
+        assert set(other) - {w for w in other if w not in left} == {w for w in other if w in left} and sum(w in left for w in other) >= len(other) - 16
+
+
 def test_every_oracle_reads_known_tables():
     assert set(ORACLE) <= set(queries.queries()) and all(any(t in sql for t in TABLES) for sql in ORACLE.values())
     assert duckdb.sql("select 1").fetchall() == [(1,)]
