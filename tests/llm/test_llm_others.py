@@ -119,6 +119,25 @@ def test_recall(spark):
     assert np.mean(hit) >= 0.9 and all([x for x, _ in sorted(g)] == [1, 2, 3, 4, 5] for g in got.values())
 
 
+def test_recall_and_share_of_random_vectors(spark):
+    r = np.random.default_rng(11)
+    v = r.normal(0, 1, (5000, 64))
+    v[4000:4200] = v[0]  # a group of equal vectors
+    v[4200:4300] = v[50] + r.normal(0, 0.05, (100, 64))  # and one of near ones
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    for block_rows, share in ((8192, 0.08), (1024, 0.15)):
+        got = {}
+        for x in ann.nearest(df, block_rows=block_rows).collect():
+            got.setdefault(x.query_id, []).append(x)
+        assert set(got) == set(range(0, 5000, 50))
+        hit = [len(set(brute(np.arange(5000), v, q)) & {x.vec_id for x in got[q]}) / 5 for q in got]
+        assert np.mean(hit) >= 0.95 and hit[0] == 1.0
+        assert np.mean([xs[0].verified / 5000 for xs in got.values()]) <= share
+        for q, xs in got.items():
+            for x in xs:
+                assert abs(x.score - v[q] @ v[x.vec_id] / np.linalg.norm(v[q]) / np.linalg.norm(v[x.vec_id])) < 1e-12
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, nan]), (6, [1.0, None]),
@@ -128,7 +147,7 @@ def test_odd_vectors(spark):
     assert [g[:3] for g in got if g[0] == 0] == [(0, 1, 1), (0, 2, 50), (0, 3, 2)]
     assert {g[0] for g in got} == {0, 50, 150} and [g[2] for g in got if g[0] == 150] == [8]
     assert ann.nearest(df.where("false")).count() == 0
-    assert rows(ann.nearest(df, chunk=1)) == got
+    assert sorted(g[:4] for g in rows(ann.nearest(df, block_rows=2))) == sorted(g[:4] for g in got)
 
 
 # URL filter ------------------------------------------------------------------------------------
