@@ -319,6 +319,7 @@ def _across_ranges(rows: DataFrame, conv: str, out_cols: str, turns: bool) -> Da
                        F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words"),
                        F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z").alias("ended"))
     firsts = slim.where("not gone").groupBy(F.col("conv_id").alias("c2"), F.col("h").alias("h2")).agg(F.min("pos").alias("p2"))
+    firsts = staged(firsts, "first-rows")  # a table, so that the join can split a hot text
     slim = slim.join(firsts, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("h") == F.col("h2")), "left")
     fault = F.expr("case when not words then 'b' when pos > p2 then 'd' when not ended then 't' else '' end")
     slim = slim.select("conv_id", F.shiftright("pos", 33).alias("part"), "pos", "turn", "initial", "gone", fault.alias("fault"))

@@ -150,12 +150,14 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
         emit, f"_id {id_type}, _th bigint, _pos int, _h bigint, _h2 bigint")
     spans = staged(spans, "spans")
     # first the hashes that repeat at all, a few bytes a run, then only their occurrences
-    shared = spans.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    # (a written table next to a join lets Spark split a hot hash; an aggregate there does not)
+    shared = staged(spans.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"), "shared")
     spans = staged(spans.join(shared, "_h", "left_semi"), "shared-spans")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_th").alias("th"),
                      F.col("_pos").alias("pos"))
     firsts = spans.groupBy("_h", "_h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-    later = spans.join(firsts.select("_h", "_h2", "a"), ["_h", "_h2"]).where(place != F.col("a"))
+    firsts = staged(firsts.select("_h", "_h2", "a"), "firsts")
+    later = spans.join(firsts, ["_h", "_h2"]).where(place != F.col("a"))
     drops = later.groupBy(F.col("_id").alias("_did"), F.col("_th").alias("_dth")).agg(
         F.collect_set("_pos").alias("_drop"))
 
