@@ -39,87 +39,85 @@ SPAN = 3
 REACH = 3
 MAX_WORDS = 24
 MIN_WORDS = 16
-SPACE = " \t\n\r\x0b\x0c"
 _TOKEN = re.compile(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*")
-_ENDS = tuple(".!?") + tuple(e + q for e in ".!?" for q in "\"')]»”")
+_ENDS = tuple(e.encode() for c in ".!?" for e in (c, *(c + q for q in "\"')]»”")))
 #: Words whose hash a worker remembers.
 _REMEMBERED = 1 << 19
 
 
 class Cutter:
-    """Cuts texts into pieces; remembers the hashes of words."""
+    """Cuts texts into pieces; remembers the hashes of words (and whether they end a sentence)."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def _hash(self, word: str) -> int:
-        if (h := self.known.get(word)) is None:
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        """Twice the hash of each word, odd if it ends a sentence."""
+        marks = list(map(self.known.get, words))
+        if None in marks:
             if len(self.known) >= _REMEMBERED:
                 self.known.clear()
-            h = self.known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
-        return h
-
-    def pieces(self, text: str) -> list[tuple[str, int, str]]:
-        """(raw text with its white space, words, words joined by one space); the raw texts join
-        to the whole text, unless it has no words."""
-        tokens = _TOKEN.findall(text)
-        words = [t.strip(SPACE) for t in tokens]
-        ends = [w.endswith(_ENDS) or "\n" in t[t.rfind(w[-1]) + 1:] for t, w in zip(tokens, words)]
-        stops = self._stops(words, ends)
-        return [("".join(tokens[a:b]), b - a, " ".join(words[a:b])) for a, b in zip([0, *stops], stops)]
-
-    def _stops(self, words: list[str], ends: list[bool]) -> list[int]:
-        """Where pieces end, the end of the text among them."""
+            for i, (w, m) in enumerate(zip(words, marks)):
+                if m is None:
+                    m = self.known[w] = 2 * int(hashlib.md5(w).hexdigest()[:7], 16) + w.endswith(_ENDS)
+                    marks[i] = m
+        return np.array(marks, np.int64)
+
+    def cut(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """The words of a text, and after how many words each piece ends."""
+        words, line_ends = [], []
+        for line in text.encode().split(b"\n"):
+            words += line.split()  # bytes are split at ASCII white space
+            line_ends.append(len(words))
         n = len(words)
         if not n:
-            return []
-        last = np.array(ends)
-        last[-1] = True
-        # sentence of each word, and the hash of a word with the one before it; none at its first word
-        sentence = np.concatenate(([0], np.cumsum(last[:-1])))
-        h = np.fromiter(map(self._hash, words), np.int64, n)
+            return words, np.zeros(0, np.int64)
+        marks = self._look_up(words)
+        last = (marks & 1).astype(bool)
+        ends = np.array(line_ends)
+        last[ends[ends > 0] - 1] = True
+        # a word with the one before it in its sentence; none at the first word
+        first = np.concatenate(([True], last[:-1]))
+        h = marks >> 1
         h[1:] = (h[1:] + h[:-1] * 1000003) % 2147483647
-        low = np.ones(n, bool)
-        low[0] = False
-        low[1:] &= sentence[1:] == sentence[:-1]
-        for d in range(1, REACH + 1):
-            if n <= d:
-                break
-            same = (sentence[d:] == sentence[:-d])
-            # the word d before has a hash if it isn't its sentence's first
-            inner = same.copy()
-            inner[0] = False
-            inner[1:] &= sentence[1:n - d] == sentence[:n - d - 1]
-            low[d:] &= ~inner | (h[d:] < h[:-d])
+        sentence = np.cumsum(first)
+        low = ~first
+        for d in range(1, min(REACH, n - 1) + 1):
+            same = sentence[d:] == sentence[:-d]
+            low[d:] &= ~(same & ~first[:-d]) | (h[d:] < h[:-d])
             low[:-d] &= ~same | (h[:-d] <= h[d:])
-        stops, start = [], 0
-        for at in (np.flatnonzero(low | last) + 1).tolist():
-            stops.extend(range(start + MAX_WORDS, at, MAX_WORDS))
-            stops.append(at)
-            start = at
-        return stops
-
-
-def run_ends(sizes: list[int]) -> list[int]:
-    """For the run that begins at each piece, where it ends; the list is short of those that don't fit."""
-    n, out, end, words = len(sizes), [], 0, 0
+        stops = np.flatnonzero(low | last) + 1
+        if (np.diff(stops, prepend=0) > MAX_WORDS).any():
+            starts = [0, *stops[:-1].tolist()]
+            stops = np.array([x for a, b in zip(starts, stops.tolist()) for x in (*range(a + MAX_WORDS, b, MAX_WORDS), b)])
+        return words, stops
+
+    def pieces(self, text: str) -> list[tuple[str, int]]:
+        """(raw text with its white space, words); the raw texts join to the whole text, unless it
+        has no words."""
+        tokens, stops = _TOKEN.findall(text), self.cut(text)[1].tolist()
+        return [("".join(tokens[a:b]), b - a) for a, b in zip([0, *stops], stops)]
+
+
+def run_ends(stops: np.ndarray) -> np.ndarray:
+    """For the run that begins at each piece, the piece after its last; short of those that don't fit."""
+    n = len(stops)
     if n < 2:
-        return out
-    for i in range(n - min(SPAN, n) + 1):
-        while end < n and (end < i + min(SPAN, n) or words < MIN_WORDS):
-            words += sizes[end]
-            end += 1
-        if end < i + min(SPAN, n) or words < MIN_WORDS:
-            break
-        out.append(end)
-        words -= sizes[i]
-    return out
+        return np.zeros(0, np.int64)
+    starts = np.concatenate(([0], stops[:-1]))
+    ends = np.maximum(np.searchsorted(stops, starts + MIN_WORDS) + 1, np.arange(n) + min(SPAN, n))
+    return ends[ends <= n]
 
 
-def runs(units: list[tuple[str, int, str]]) -> list[tuple[int, bytes]]:
-    """(first piece, 128-bit hash) of every run."""
-    words = [u[2] for u in units]
-    return [(i, xxhash.xxh3_128_digest(" ".join(words[i:end]))) for i, end in enumerate(run_ends([u[1] for u in units]))]
+def runs(words: list[bytes], stops: np.ndarray) -> list[bytes]:
+    """128-bit hashes of the runs that begin at the first piece, the second and so on."""
+    ends = run_ends(stops)
+    if not len(ends):
+        return []
+    whole = b" ".join(words)
+    after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    at = np.concatenate(([0], after[stops - 1]))  # where pieces begin
+    return [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(at[:len(ends)].tolist(), (at[ends] - 1).tolist())]
 
 
 def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,14 +131,14 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def emit(batches):
         cutter = Cutter()
         for b in batches:
-            rows, starts, digests = [], [], []
-            for k, text in enumerate(b.column(2).to_pylist()):
-                for i, d in runs(cutter.pieces(text)) if text else ():
-                    rows.append(k)
-                    starts.append(i)
-                    digests.append(d)
+            counts, digests = [], []
+            for text in b.column(2).to_pylist():
+                mine = runs(*cutter.cut(text)) if text else []
+                counts.append(len(mine))
+                digests += mine
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows = pa.array(rows, pa.int64())
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            starts = np.concatenate([np.zeros(0, np.int32), *[np.arange(c, dtype=np.int32) for c in counts]])
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(rows), b.column(1).take(rows), pa.array(starts, pa.int32()),
                 pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
@@ -174,8 +172,8 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 gone_words, covered = 0, set()
                 if starts:
                     units = cutter.pieces(text)
-                    stops = run_ends([u[1] for u in units])
-                    covered = {p for s in starts for p in range(s, stops[s])}
+                    ends = run_ends(np.cumsum([u[1] for u in units])).tolist()
+                    covered = {p for s in starts for p in range(s, ends[s])}
                     gone_words = sum(units[p][1] for p in covered)
                     text = "".join(u[0] for p, u in enumerate(units) if p not in covered)
                 texts.append(text)

@@ -71,10 +71,10 @@ def test_pieces_move_with_the_words():
     cutter = substring_dedup.Cutter()
     for size in (60, 200):
         passage = [str(x) for x in r.choice(vocab, size)]
-        want = [p[2] for p in cutter.pieces(" ".join(passage))][1:-1]  # pieces at the edges depend on what is around
+        want = [p[0].strip() for p in cutter.pieces(" ".join(passage))][1:-1]  # pieces at the edges depend on what is around
         for before in range(0, 30):
             text = " ".join([*map(str, r.choice(vocab, before)), *passage, *map(str, r.choice(vocab, 9))])
-            got = [p[2] for p in cutter.pieces(text)]
+            got = [p[0].strip() for p in cutter.pieces(text)]
             inner = [p for p in want[1:-1]]
             at = got.index(inner[0])
             assert got[at:at + len(inner)] == inner
