@@ -40,10 +40,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document, next to the document's other columns but its text
-    (and but those named like a column of the mix)."""
-    own = {"doc_id", "source", "text", "size", "source_size", "target", "copies", "taken"}
-    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c.lower() not in own))
+    """The mix: every document, whole, as often as it is taken."""
+    return mixing.mix_documents(docs)
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_dedup_stage), ("simhash", simhash_stage),
