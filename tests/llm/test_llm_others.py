@@ -9,7 +9,7 @@ import pytest
 from oracle_compare import compare
 from pyspark.sql import functions as F
 
-from fairrank.llm import ann, chat, html_extract, queries, url_filter
+from fairrank.llm import ann, chat, decontaminate, html_extract, mixing, quality, queries, simhash, url_filter
 from fairrank.llm.html_templates import MARK, Writer
 from fairrank.llm.oracle import ORACLE
 
@@ -266,7 +266,6 @@ def test_chats(spark, tmp_path):
 @needs_data
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
-    from fairrank.llm import decontaminate, quality, simhash
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"size": F.lit("s"), "score": F.lit(0), "_th": F.lit(1)})
     frames = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -284,6 +283,43 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert ids["simhash"] == {r.component_id for r in groups}
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert ids["decontamination"] == {r.doc_id for r in decontaminate.hits(frames["decontamination"][0], bench).where("not contaminated").collect()}
-    assert ids["mixing"] == ids["decontamination"]
-    cols = [c for c in docs.columns if c not in ("score", "_th")]
+    before, mix = frames["mixing"][0], spark.read.parquet(f"{tmp_path}/mixing")
+    assert mix.columns == before.columns
+    plan = {r.doc_id: r.copies for r in mixing.mix_sources(before).collect()}
+    key = ["doc_id", "text", "lang", "source", "n_chars"]
+    want = sorted((tuple(r) for r in before.select(*key).collect() for _ in range(plan[r.doc_id])), key=repr)
+    assert rows(mix.select(*key)) == want and len(want) == sum(plan.values()) and max(plan.values()) > 1
+    cols = [c for c in docs.columns if c not in ("size", "score", "_th")]
     assert rows(corpus_pipeline.run(spark, SF).select(*cols)) == rows(docs.select(*cols))
+
+
+def stage_tables(spark, top, docs):
+    """The tables of ``SF`` with other documents, each as a folder of Parquet files."""
+    docs.write.parquet(f"{top}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        os.symlink(f"{SF}/{t}.parquet", f"{top}/{t}.parquet")
+    return str(top)
+
+
+@needs_data
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    (tmp_path / "none").mkdir()
+    empty = corpus_pipeline.run(spark, stage_tables(spark, tmp_path / "none", whole.where("false")))
+    assert empty.columns == whole.columns and empty.collect() == []
+    # null ids, null texts, rows that occur three times and one id for many texts
+    few = whole.where("doc_id < 300")
+    odd = few.withColumn("doc_id", F.expr("case when doc_id % 7 = 0 then null when doc_id % 5 = 0 then 35 else doc_id end"))
+    odd = odd.union(few.where("doc_id in (1, 2, 3)")).union(few.where("doc_id in (1, 2, 3)"))
+    odd = odd.union(few.where("doc_id < 9").withColumn("text", F.lit(None).cast("string")))
+    (tmp_path / "odd").mkdir()
+    sf = stage_tables(spark, tmp_path / "odd", odd)
+    model = quality.fit(odd, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {(r.doc_id, r.text) for r in quality.keep_good(odd, model).collect()}
+    got = corpus_pipeline.run(spark, sf)
+    out = got.collect()
+    assert got.columns == whole.columns and out and len(out) == len([r for r in out if (r.doc_id, r.source) in {(d.doc_id, d.source) for d in odd.collect()}])
+    assert {r.doc_id for r in out} <= {i for i, _ in good}
+    again = sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=repr)
+    assert again == sorted(map(tuple, out), key=repr)
