@@ -1,7 +1,8 @@
-"""Model training, selection and feature ranking on Spark ML.
+"""Model training, selection and feature ranking.
 
-Pipelines: median Imputer -> VectorAssembler -> [StandardScaler] ->
-classifier, with class-balance and fairness weights through ``weightCol``.
+Logistic regression is a Spark ML pipeline (median Imputer -> VectorAssembler -> StandardScaler ->
+classifier); boosted trees and forests are grown on binned features by ``boosting`` and ``forest``.
+All take class-balance and fairness weights.
 Folds are assigned by hashing ClientID so a client never spans folds.
 Only per-model metric rows (a handful of scalars) reach the driver.
 """
@@ -18,12 +19,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairrank.operators.boosting import BoostedModel, BoostingParams, fit_boosting
 from fairrank.operators.curves import score_metrics
+from fairrank.operators.forest import ForestModel, ForestParams, fit_forest
 from fairrank.operators.ranking import group_ranking_metrics
-from fairrank.sources.tables import materialize
+from fairrank.sources.tables import materialize, table_path
 
 # Fixed values, the reference's model settings: LR (L2, balanced, C = 1), RF 400 trees / min leaf 2,
 # boosted trees 600 rounds of depth 8 on 0.8 of the rows and columns.
@@ -32,6 +35,10 @@ MODEL_DEFAULTS = {
     "rf": {"numTrees": 400, "minInstancesPerNode": 2, "maxDepth": 30},
     "gbt": {"maxIter": 600, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
 }
+# Names of the settings in Spark ML and in the growers of trees.
+_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "min_leaf"}
+_BOOSTING_NAMES = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "step_size", "subsamplingRate": "row_share",
+                   "featureSubsetStrategy": "column_share"}
 # What models are chosen by.
 METRICS = ("pr_auc", "roc_auc", "map_at_k", "recall_at_k")
 # Fixed values of the feature ranking: 300 rounds of up to 64 leaves.
@@ -92,7 +99,31 @@ def total_weight(df: DataFrame, weight_col: str | None = None) -> float:
     return float(df.agg(F.sum(F.col(weight_col) if weight_col else F.lit(1))).first()[0] or 0)
 
 
-def predict_proba(model: PipelineModel, df: DataFrame, out_col: str = "proba") -> DataFrame:
+def _renamed(params: dict, names: dict) -> dict | None:
+    """The settings under the growers' names; None if one of them only Spark ML has."""
+    if set(params) - set(names):
+        return None
+    return {names[k]: float(v) if names[k].endswith("share") else v for k, v in params.items()}
+
+
+def fit_model(kind: str, train: DataFrame, features: Sequence[str], weight_col: str | None = None, total: float | None = None,
+              path: str | None = None, seed: int = 42, **params) -> PipelineModel | BoostedModel:
+    """M1-M3: one model.  Boosted trees and forests are grown by ``boosting`` (resumable below ``path``)
+    and ``forest``; a forest over a table beyond its bound, and settings that only Spark ML has, by Spark ML."""
+    spec = {**MODEL_DEFAULTS[kind], **params}
+    if kind == "gbt" and (own := _renamed(spec, _BOOSTING_NAMES)) is not None:
+        path = path or table_path(train.sparkSession, "models", f"boosting-{uuid.uuid4().hex}")
+        return fit_boosting(train, features, path, ["ClientID", "ProductID"], weight_col=weight_col, params=BoostingParams(seed=seed, **own))
+    if kind == "rf" and (own := _renamed(spec, _FOREST_NAMES)) is not None:
+        model = fit_forest(train, list(features), ["ClientID", "ProductID"], weight_col=weight_col, params=ForestParams(seed=seed, **own))
+        if model is not None:
+            return model
+    return build_pipeline(kind, features, weight_col=weight_col, total_weight=total, seed=seed, **params).fit(train)
+
+
+def predict_proba(model: PipelineModel | BoostedModel, df: DataFrame, out_col: str = "proba") -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.predict_proba(df, out_col)
     return model.transform(df).withColumn(out_col, vector_to_array("probability")[1])
 
 
@@ -110,22 +141,31 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}; known metrics: {', '.join(METRICS)}")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """M5: write a fitted pipeline to shared storage."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedModel, path: str) -> None:
+    """M5: write a fitted model to shared storage, next to a line with its kind."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, BoostedModel):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+    spark.createDataFrame([(type(model).__name__,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | BoostedModel:
+    spark = SparkSession.getActiveSession()
+    kind = spark.read.parquet(f"{path}/kind").first()[0]
+    own = {"BoostedModel": BoostedModel, "ForestModel": ForestModel}
+    return own[kind].load(spark, path) if kind in own else PipelineModel.load(path)
 
 
 def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str],
                      kinds: Sequence[str] = ("logreg", "rf", "gbt"), params: dict | None = None,
                      metric: str = "pr_auc", weight_col: str | None = "weight",
-                     fair_col: str | None = None) -> tuple[DataFrame, PipelineModel]:
+                     fair_col: str | None = None, path: str | None = None) -> tuple[DataFrame, PipelineModel | BoostedModel]:
     """M5: fit every model, pick the best validation ``metric``, score test;
-    returns (leaderboard DF, best fitted PipelineModel).  ``fair_col`` names a
-    fairness weight (X8) that multiplies the class balance (M11)."""
+    returns (leaderboard DF, best fitted model).  ``fair_col`` names a
+    fairness weight (X8) that multiplies the class balance (M11); boosted
+    trees resume below ``path``."""
     params = params or {}
     _check_metric(metric)
     if weight_col:
@@ -133,7 +173,7 @@ def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, features
     rows, models = [], {}
     total = total_weight(train, weight_col)
     for kind in kinds:
-        m = build_pipeline(kind, features, weight_col=weight_col, total_weight=total, **params.get(kind, {})).fit(train)
+        m = fit_model(kind, train, features, weight_col, total, path and f"{path}/{kind}", **params.get(kind, {}))
         models[kind] = m
         v = evaluate(m, val).select(*[F.col(c).alias(f"val_{c}") for c in
                                       ("roc_auc", "pr_auc", "logloss", "best_f1", "recall_at_k", "map_at_k")])
@@ -153,9 +193,10 @@ def leaderboard_top(board: DataFrame, metric: str = "val_pr_auc", n: int = 3) ->
 
 
 def feature_ranking(df: DataFrame, features: Sequence[str], label_col: str = "label", **gbt_params) -> DataFrame:
-    """M7: gradient-boosted-tree importances, descending."""
-    model = build_pipeline("gbt", features, label_col, **(RANKING_PARAMS | gbt_params)).fit(df)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    """M7: gain importances of boosted trees, descending."""
+    params = BoostingParams(**_renamed(RANKING_PARAMS | gbt_params, _BOOSTING_NAMES))
+    path = table_path(df.sparkSession, "models", f"ranking-{uuid.uuid4().hex}")
+    imp = fit_boosting(df, features, path, ["ClientID", "ProductID"], label_col, params=params).importances(len(features))
     rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
                                            "feature string, importance double, rank int")
