@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from fairrank.config import OTHERS_WEIGHT, UNKNOWN, WEIGHT_CLIP
 from fairrank.functions.columns import clip_range, safe_ratio
+from fairrank.operators.order import exact_quantiles
 from fairrank.operators.scoring import top_k
 
 
 def attach_group_labels(recs: DataFrame, client_groups: DataFrame, group_col: str) -> DataFrame:
-    """Client -> group (NULL -> UNKNOWN)."""
+    """Client -> group (NULL -> UNKNOWN); of a client's several groups the smallest counts."""
     if group_col in recs.columns:
         return recs.withColumn(group_col, F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN)))
-    g = client_groups.select("ClientID", group_col).dropDuplicates(["ClientID"])
+    g = client_groups.groupBy("ClientID").agg(F.min(group_col).alias(group_col))
     return (recs.join(g, "ClientID", "left")
                 .withColumn(group_col, F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN))))
 
@@ -34,8 +35,10 @@ def exposure_by_group(recs: DataFrame, group_col: str, item_col: str = "ProductI
         F.count(item_col).alias("exposure_rows"),
         F.count_distinct(item_col).alias("unique_items"),
         F.avg(score_col).alias("avg_score"),
-        F.percentile(F.col(score_col), 0.5).alias("median_score"),
         F.count_distinct("ClientID").alias("clients"))
+    medians = exact_quantiles(recs.select(F.col(group_col).alias("grp"), F.col(score_col).cast("double").alias("value")), (0.5,))
+    g = (g.join(medians, F.col(group_col).eqNullSafe(F.col("grp")), "left")
+          .select(group_col, "exposure_rows", "unique_items", "avg_score", F.col("q")[0].alias("median_score"), "clients"))
     return (g.crossJoin(F.broadcast(total))  # single-row scalar
              .withColumns({"exposure_share": F.col("exposure_rows") / F.col("__total"),
                            "rows_per_client": safe_ratio("exposure_rows", "clients", 0.0)})

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fairrank.config import PAIR_FILL_DEFAULTS, PRODUCT_IDENTITY, SplitCfg
 from fairrank.functions.columns import clip_lower0, is_numeric
 from fairrank.operators import features as feats
+from fairrank.operators.order import global_rank, rank_within
 from fairrank.sources.tables import materialize
 
 PAIR = ["ClientID", "ProductID"]
@@ -104,17 +105,15 @@ def client_pref_category(history: DataFrame) -> DataFrame:
 def product_popularity(history: DataFrame) -> DataFrame:
     """(ProductID, Category, pop, rank, cat_rank) over the history catalog.
 
-    The catalog is small next to the transactions, so the global ranking
-    window runs on one partition of catalog-sized data."""
+    Both ranks come from sampled ranges of the order (see ``order``): neither the
+    catalog nor a category that holds most of it is in one task."""
     prod = (history.where(F.col("ProductID").isNotNull())
                    .groupBy("ProductID")
                    .agg(F.count("txn_date").alias("pop"), F.max("Category").alias("Category")))
     order = [F.desc("pop"), F.asc("ProductID")]
-    return prod.withColumns({
-        "rank": F.row_number().over(Window.orderBy(*order)),
-        "cat_rank": F.when(F.col("Category").isNotNull(),
-                           F.row_number().over(Window.partitionBy("Category").orderBy(*order))),
-    })
+    ranked = rank_within(global_rank(prod, order, "rank"), "Category", order, "cat_rank")
+    return ranked.select("ProductID", "pop", "Category", F.col("rank").cast("int").alias("rank"),
+                         F.when(F.col("Category").isNotNull(), F.col("cat_rank").cast("int")).alias("cat_rank"))
 
 
 # ---------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairrank.operators.order import exact_quantiles
+
 LOG_SCHEMA = "timestamp_utc timestamp_ntz, path string, method string, status_code int, latency_ms double"
 
 
@@ -26,19 +28,22 @@ def _window(log: DataFrame, as_of, window_hours: int) -> DataFrame:
 def monitoring_summary(log: DataFrame, as_of, window_hours: int = 24) -> DataFrame:
     """Events, p50 / p95 latency (linear interpolation), error rate (status >= 400)."""
     w = _window(log, as_of, window_hours)
-    return w.agg(F.lit(window_hours).alias("window_hours"),
-                 F.count(F.lit(1)).alias("events"),
-                 F.percentile("latency_ms", 0.5).alias("p50_latency_ms"),
-                 F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
-                 F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    cells = w.select(F.lit(0).alias("grp"), F.col("latency_ms").cast("double").alias("value"))
+    q = exact_quantiles(cells, (0.5, 0.95)).agg(F.first("q").alias("q"))  # one row, also without events
+    row = w.agg(F.lit(window_hours).alias("window_hours"), F.count(F.lit(1)).alias("events"),
+                F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    return row.crossJoin(q).select("window_hours", "events", F.col("q")[0].alias("p50_latency_ms"),
+                                   F.col("q")[1].alias("p95_latency_ms"), "error_rate")
 
 
 def path_breakdown(log: DataFrame, as_of, window_hours: int = 24) -> DataFrame:
     """Per path requests, p95 latency and error rate."""
     w = _window(log, as_of, window_hours)
-    return w.groupBy("path").agg(F.count(F.lit(1)).alias("requests"),
-                                 F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
-                                 F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    g = w.groupBy("path").agg(F.count(F.lit(1)).alias("requests"),
+                              F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    q = exact_quantiles(w.select(F.col("path").alias("grp"), F.col("latency_ms").cast("double").alias("value")), (0.95,))
+    return g.join(q, F.col("path").eqNullSafe(F.col("grp")), "left").select(
+        "path", "requests", F.col("q")[0].alias("p95_latency_ms"), "error_rate")
 
 
 def fairness_drift(reports: DataFrame, limit: int = 20) -> DataFrame:

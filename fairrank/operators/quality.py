@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fairrank.config import DESCRIBE_PERCENTILES
 from fairrank.functions.columns import is_numeric
 from fairrank.operators.dedupe import exact_duplicate_rows, key_duplicate_rows
+from fairrank.operators.order import exact_quantiles
 
 
 def _unpivot(row: DataFrame, names: Sequence[str], key: str, value: str) -> DataFrame:
@@ -56,16 +57,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     per numeric column (honours ``cols``; all numeric columns when None)."""
     cols = list(cols) if cols else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     ps = list(DESCRIBE_PERCENTILES)
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.percentile(x, F.array(*[F.lit(p) for p in ps])).alias("__p"), F.max(x).alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("grp"), F.col(c).cast("double").alias("value")) for c in cols])))
+    stats = cells.groupBy(F.col("grp").alias("column")).agg(
+        F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    out = stats.join(exact_quantiles(cells, ps, "__p"), F.col("column") == F.col("grp"), "left")
     names = [f"p{int(round(p * 100))}" for p in ps]
     return out.select("column", "count", "mean", "std", "min",
                       *[F.col("__p")[i].alias(n) for i, n in enumerate(names)], "max")
