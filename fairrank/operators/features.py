@@ -17,7 +17,7 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -283,15 +283,15 @@ def category_features(interactions: DataFrame, cutoff: str | None = None) -> Dat
         "cat_txns", "cat_buyers", "cat_qty", "cat_eur", "cat_txn_share", "cat_eur_per_txn")
 
 
+def feature_builders() -> dict[str, Callable[..., DataFrame]]:
+    """what builds each feature table from interactions and a cutoff."""
+    return {"user": user_features, "product": product_features, "rfm": user_rfm, "cp": client_product_recency,
+            "category": category_features}
+
+
 def build_all_features(interactions: DataFrame, cutoff: str | None = None) -> dict[str, DataFrame]:
     """the five feature tables for one cutoff (lazy)."""
-    return {
-        "user": user_features(interactions, cutoff),
-        "product": product_features(interactions, cutoff),
-        "rfm": user_rfm(interactions, cutoff),
-        "cp": client_product_recency(interactions, cutoff),
-        "category": category_features(interactions, cutoff),
-    }
+    return {name: build(interactions, cutoff) for name, build in feature_builders().items()}
 
 
 def clip_nonnegative_prefixed(df: DataFrame, prefixes: Sequence[str] = ("u_", "p_", "cp_", "cat_")) -> DataFrame:

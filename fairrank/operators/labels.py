@@ -271,14 +271,18 @@ def assemble_dataset(candidates: DataFrame, window: DataFrame, features: dict[st
     return feats.clip_nonnegative_prefixed(df)
 
 
-def build_split_dataset(full: DataFrame, cfg: SplitCfg) -> DataFrame:
+def build_split_dataset(full: DataFrame, cfg: SplitCfg, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """history/window -> candidates -> features at the cutoff -> dataset.
 
-    User and pair features depend on a client's own rows alone, so they are
-    built for the clients that have candidates."""
+    ``stored``: the feature tables of the cutoff (user, product, cp, category), as
+    a feature store holds them.  Without them they are built here; user and pair
+    features, which depend on a client's own rows alone, for the clients that
+    have candidates."""
     history, window = history_window(full, cfg.cutoff, cfg.label_days)
     cand = _stage(build_candidates(history, window, cfg.negatives_per_pos, cfg.hard_negatives,
                                    cfg.random_state, cfg.cap_negatives), "candidates")
+    if stored is not None:
+        return assemble_dataset(cand, window, stored, cfg.pos_target)
     theirs = full.join(cand.select("ClientID").distinct(), "ClientID", "left_semi")
     fts = {
         "user": feats.user_features(theirs, cfg.cutoff),

@@ -429,3 +429,13 @@ def _():
                     THEN 2 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(P AS DOUBLE))
                          / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(P AS DOUBLE)) ELSE 0 END) AS best_f1
     FROM cum CROSS JOIN tot)"""
+
+
+@oracle("feature_store_versions")
+def _():
+    keys = {"user": "ClientID", "rfm": "ClientID", "product": "ProductID", "category": "ProductID", "cp": "(ClientID, ProductID)"}
+    null = {k: " AND ".join(f"{c} IS NOT NULL" for c in v.strip("()").split(", ")) for k, v in keys.items()}
+    return "\nUNION ALL\n".join(f"""
+        SELECT '{t}' AS "table", strftime(k.{c}, '%Y-%m-%d') AS cutoff, count(DISTINCT {key}) AS rows
+        FROM collapsed, cutoffs k WHERE txn_date < k.{c} AND {null[t]} GROUP BY k.{c}"""
+        for t, key in keys.items() for c in ("train_end", "val_end", "test_end"))

@@ -96,7 +96,7 @@ def q_inter_report(ctx: Context):
 
 
 def _feature_tables(ctx: Context):
-    t = features.build_all_features(ctx.history, ctx.cutoffs.test_end)
+    t = ctx.features(ctx.cutoffs.test_end)
     return {"user_features": t["user"], "product_features": t["product"], "user_rfm": t["rfm"],
             "client_product_recency": t["cp"], "category_features": t["category"]}
 
@@ -107,6 +107,18 @@ def q_feature_checks(ctx: Context):
     return quality.feature_checks(_feature_tables(ctx))
 
 
+@query("feature_store_versions")
+def q_store(ctx: Context):
+    """Every feature table at the train, val and test cutoffs through the store, and what its markers say."""
+    c, out = ctx.cutoffs, None
+    for cutoff in (c.train_end, c.val_end, c.test_end):
+        ctx.features(cutoff)
+    for name in features.feature_builders():
+        r = ctx.store.listing(name).select(F.lit(name).alias("table"), "cutoff", "rows")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("quality_gates")
 def q_gates(ctx: Context):
     """Q11: gates of interactions, feature tables and the train / val / test splits."""
@@ -139,7 +151,7 @@ def q_collapsed_cpd(ctx: Context):
 def q_ordered(ctx: Context):
     """Product features written in key order and read back."""
     path = table_path(ctx.spark, ctx.sf_dir, "product_features_ordered")
-    write_ordered(features.product_features(ctx.history, ctx.cutoffs.test_end), path, ["ProductID"])
+    write_ordered(ctx.features(ctx.cutoffs.test_end)["product"], path, ["ProductID"])
     return ctx.spark.read.parquet(path)
 
 
@@ -280,7 +292,7 @@ def _split_at(ctx: Context, name: str):
     if name == "test":
         return _split(ctx)
     cfg = SplitCfg(name, ctx.cutoffs.for_split(name), LABEL_DAYS, NEG_PER_POS, "pop_in_prefcat", "binary")
-    return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg),
+    return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg, ctx.features(cfg.cutoff)),
                                                           ctx.sf_dir, f"split_{name}"))
 
 

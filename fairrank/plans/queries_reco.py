@@ -32,7 +32,7 @@ def _window(ctx: Context):
 
 def _split(ctx: Context):
     return ctx._memo("split_test", lambda: materialize(
-        labels.build_split_dataset(ctx.history, test_cfg(ctx)), ctx.sf_dir, "split_test"))
+        labels.build_split_dataset(ctx.history, test_cfg(ctx), ctx.features(ctx.cutoffs.test_end)), ctx.sf_dir, "split_test"))
 
 
 def _run(ctx: Context):

@@ -17,7 +17,8 @@ from fairrank.functions.columns import round_doubles
 from fairrank.plans import fixtures
 from fairrank.plans.pipeline import canonical_tables, infer_cutoffs
 from fairrank.operators.interactions import load_interactions
-from fairrank.sources.tables import materialize
+from fairrank.sources.store import FeatureStore
+from fairrank.sources.tables import materialize, table_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -70,6 +71,17 @@ class Context:
         return self._memo("history", lambda: materialize(
             load_interactions(self.collapsed, None), self.sf_dir, "interactions_collapsed"))
 
+    @property
+    def store(self) -> FeatureStore:
+        return FeatureStore(self.spark, table_path(self.spark, self.sf_dir, "feature_store"))
+
+    def features(self, cutoff: str) -> dict[str, DataFrame]:
+        """F14 from the feature store: user, product, rfm, cp and category tables of a cutoff."""
+        from fairrank.operators.features import feature_builders
+        return self._memo(("features", cutoff), lambda: {
+            name: self.store.get(name, cutoff, lambda build=build: build(self.history, cutoff))
+            for name, build in feature_builders().items()})
+
     @property
     def cutoffs(self):
         return self._memo("cutoffs", lambda: infer_cutoffs(self.history))

@@ -37,12 +37,9 @@ def materialize(df: DataFrame, namespace: str, name: str, partition_by: list[str
 
 
 def write_dated(df: DataFrame, base_path: str, cutoff: str) -> None:
-    """Feature table versioned by cutoff (``cutoff=YYYY-MM-DD`` partition);
-    dynamic partition overwrite replaces only that cutoff."""
-    from pyspark.sql import functions as F
-    (df.withColumn("cutoff", F.lit(cutoff))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("cutoff").parquet(base_path))
+    """Feature table versioned by cutoff (``cutoff=YYYY-MM-DD`` partition); replaces only that
+    cutoff, and an empty table is a version too."""
+    df.write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/cutoff={cutoff}")
 
 
 def read_dated(spark: SparkSession, base_path: str, cutoff: str) -> DataFrame | None:
