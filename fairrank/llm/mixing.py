@@ -2,26 +2,27 @@
 
 Sources are ordered by code point (null last); weights repeat over them.  Targets share all
 words of the corpus by weight, but none goes above ``MAX_REPEAT`` times its source's size; the
-excess is reshared by weight until none is above.  With r = target / size, every document of a
-source is first taken floor(r) whole times.  The rest is a Pareto order sample: documents rank
-by the odds of a random number over the odds of their inclusion probability r - floor(r), which
-differs from source to source, and the lowest ranks are taken while their words fit the rest of
-the target.  Within a source that probability is one number, so there the Pareto order is the order
-of the random numbers: the sample is a simple random one per source.  The document that no longer
-fits is passed over, and the documents after it that fit what is left go on in the same order
-(``SAMPLE_ROUNDS`` times).  One more document closes the gap if that comes nearer: of those not
-sampled, the one whose size is nearest to it.  The random number is a hash of id and text, so
-reruns agree.
+excess is reshared by weight until none is above.
+
+A document's expected copies are in proportion to its size, at most ``MAX_REPEAT``, so that those of
+a source add up to its target in words.  The whole part of them are certain copies; what is left, below
+1, is the document's own inclusion probability p.  The rest is a Pareto order sample: documents rank
+by the odds of a random number over the odds of p, and the lowest ranks are taken while their words
+fit the rest of the target.  The document that no longer fits is passed over, and the documents
+after it that fit what is left go on in the same order (``SAMPLE_ROUNDS`` times).  One more document
+closes the gap if that comes nearer: of those not sampled, the one whose size is nearest to it.  The
+random number is a hash of id and text, so reruns agree.
 
 The cut in a source's order is found without sorting it: ranks are integers, and histograms of
 twelve of their bits at a time (pre-aggregated map-side) narrow the place where the running sum
 of words passes the rest, until a few rows are left per source.  A source with a third of all
-rows is never in one task.
+rows is never in one task, and neither are all sources: their order comes from sampled ranges, their
+targets from repeated sums.
 
 Defined results: null text has size 0; null source is a source; a document of size 0 takes 0
-words; a source of size 0 has target 0; with no words at all every target is 0; repeated rows are
-separate rows; an empty table gives an empty table; input columns other than the text may be
-carried along, whatever their names.
+words and has no copies; a source of size 0 has target 0; with no words at all every target is 0;
+repeated rows are separate rows; an empty table gives an empty table; input columns other than the
+text may be carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairrank.llm.common import pick, positional, staged
+from fairrank.operators.order import global_rank
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -44,23 +46,43 @@ SAMPLE_ROUNDS = 2
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size, target) from (source, source_size): shares by weight, filled up like
     water under the caps.  Runs over sources, not documents."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights)) + 1)
-    s = sizes.withColumn("w", w.cast("bigint")).withColumn("cap", F.col("source_size") * max_repeat)
-    # sources reach their caps in the order of cap / weight; the others share what is left
-    fill = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.withColumn("words", F.sum("source_size").over(every)).withColumn("all_w", F.sum("w").over(every))
-         .withColumn("left", F.col("words") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-         .withColumn("left_w", F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0))))
-    # cap < left * w / left_w, in whole numbers
-    s = s.withColumn("capped", F.col("cap").cast("decimal(38,0)") * F.col("left_w") <= F.col("left").cast("decimal(38,0)") * F.col("w"))
-    s = (s.withColumn("rest", F.col("words") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0)))
-         .withColumn("rest_w", F.coalesce(F.sum(F.when(~F.col("capped"), F.col("w"))).over(every), F.lit(0))))
-    share = F.col("rest").cast("double") * F.col("w") / F.when(F.col("rest_w") > 0, F.col("rest_w"))
-    return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
-        F.coalesce(share, F.lit(0.0))).alias("target"))
+    ranked = global_rank(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "nth")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    wide = "decimal(38,0)"
+    s = ranked.select("source", "source_size", w.cast(wide).alias("w"), (F.col("source_size") * max_repeat).cast(wide).alias("cap"))
+    s = staged(s, "sources")
+    words, rest_w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    words, rest_w = int(words or 0), int(rest_w or 0)
+    rest = words
+    while True:  # those above their share of what is left are capped, until none is
+        above = F.col("cap") * F.lit(rest_w).cast(wide) <= F.lit(rest).cast(wide) * F.col("w")
+        caps, left = s.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("w")))).first()
+        now = (words - int(caps or 0), int(left or 0))
+        if now == (rest, rest_w):
+            break
+        rest, rest_w = now
+    share = F.lit(float(rest)) * F.col("w").cast("double") / F.lit(float(max(rest_w, 1)))
+    return s.select("source", "source_size", F.when(above, F.col("cap").cast("double")).otherwise(share).alias("target"))
+
+
+def copies_per_word(docs: DataFrame, plan: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(s0, per_word): expected copies per word of each source's documents, null where all have ``max_repeat``.
+
+    From the counts of each size: documents from some size on have ``max_repeat`` copies, the others share
+    what is left of the target in proportion to their size."""
+    wide = "decimal(38,0)"
+    cells = docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    words, squares = F.col("n").cast(wide) * F.col("size"), F.col("n").cast(wide) * F.col("size") * F.col("size")
+    cells = cells.select("source", "size", words.cast(wide).alias("words"), squares.cast(wide).alias("squares"))
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.select("source", "size", F.coalesce(F.sum("words").over(larger), F.lit(0)).cast("double").alias("capped"),
+                         F.sum("squares").over(smaller).cast("double").alias("open"))
+    t = plan.select(F.col("source").alias("s1"), "target")
+    per = (F.col("target") - max_repeat * F.col("capped")) / F.col("open")
+    cells = cells.join(t, F.col("source").eqNullSafe(F.col("s1"))).withColumn("per", per)
+    return cells.where(F.col("per") * F.col("size") < max_repeat).groupBy(F.col("source").alias("s0")).agg(
+        F.max_by("per", "size").alias("per_word"))
 
 
 def unit_random(*parts: Column) -> Column:
@@ -122,14 +144,20 @@ def mix_sources(documents: DataFrame, carry: tuple[str, ...] = (), id_col: str =
         unit_random(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("u"),
         F.monotonically_increasing_id().alias("row")), "sizes")
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("whole", F.least(F.floor(r), F.lit(max_repeat)).cast("bigint")).withColumn("p", r - F.floor(r))
-    plan = staged(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    plan = staged(plan, "targets")
 
     def with_plan(d: DataFrame, other: DataFrame, key: str) -> DataFrame:
         return d.join(other.withColumnRenamed("source", key), F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
 
-    ranked = with_plan(docs, plan, "s1").withColumn("key", F.when(F.col("p") > 0, rank_key(F.col("u"), F.col("p"))))
+    per = copies_per_word(docs, plan, max_repeat)
+    docs = with_plan(with_plan(docs, plan, "s1"), per.withColumnRenamed("s0", "source"), "s2")
+    most = F.lit(float(max_repeat))
+    c = F.when(F.col("size") == 0, 0.0).when(F.col("per_word").isNull(), most).otherwise(F.least(F.col("per_word") * F.col("size"), most))
+    docs = staged(docs.withColumn("c", c).withColumn("whole", F.floor("c").cast("bigint")).withColumn("p", F.col("c") - F.floor("c"))
+                  .drop("c", "per_word"), "copies")
+    certain = docs.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    ranked = with_plan(docs, certain, "s3").withColumn("rest", F.col("target") - F.col("certain")).drop("certain")
+    ranked = ranked.withColumn("key", F.when(F.col("p") > 0, rank_key(F.col("u"), F.col("p"))))
     out = staged(ranked.drop("u").withColumn("sampled", F.lit(False)), "ranked")
     me = F.struct("key", "row")
     for k in range(SAMPLE_ROUNDS):

@@ -56,11 +56,17 @@ s3 AS (SELECT *, cap::HUGEINT * left_w <= lft * w AS capped FROM s2),
 s4 AS (SELECT *, (words - coalesce(sum(cap) FILTER (WHERE capped) OVER (), 0))::BIGINT AS rest0,
     coalesce(sum(w) FILTER (WHERE NOT capped) OVER (), 0)::BIGINT AS rest_w FROM s3),
 s5 AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE coalesce(rest0::DOUBLE * w / nullif(rest_w, 0), 0.0) END AS target FROM s4),
-s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r FROM s5),
-plan AS (SELECT *, least(floor(r), 3)::BIGINT AS whole, r - floor(r) AS p, target - least(floor(r), 3)::BIGINT * source_size AS rest FROM s6),
-r0 AS (SELECT d.*, source_size, target, whole, p, rest, row_number() OVER () AS id,
+-- a document's copies are in proportion to its size, three at most
+cells AS (SELECT source, size, count(*) * size AS words, count(*) * size::HUGEINT * size AS squares FROM d WHERE size > 0 GROUP BY source, size),
+per AS (SELECT cells.source, cells.size, (target - 3 * coalesce(sum(words) OVER (PARTITION BY cells.source ORDER BY cells.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(squares) OVER (PARTITION BY cells.source ORDER BY cells.size))::DOUBLE AS per FROM cells JOIN s5 ON cells.source IS NOT DISTINCT FROM s5.source),
+lam AS (SELECT source, arg_max(per, size) AS per_word FROM per WHERE per * size < 3 GROUP BY source),
+c0 AS (SELECT d.*, source_size, target, CASE WHEN size = 0 THEN 0.0 WHEN per_word IS NULL THEN 3.0 ELSE least(per_word * size, 3.0) END AS c
+    FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN lam ON d.source IS NOT DISTINCT FROM lam.source),
+c1 AS (SELECT *, floor(c)::BIGINT AS whole, c - floor(c) AS p FROM c0),
+r0 AS (SELECT *, target - (sum(whole * size) OVER (PARTITION BY source))::BIGINT AS rest, row_number() OVER () AS id,
     CASE WHEN p > 0 THEN least(floor(((u / (1.0 - u)) / (p / (1.0 - p))) / (((u / (1.0 - u)) / (p / (1.0 - p))) + 1.0) * 281474976710656.0), 281474976710655)::BIGINT END AS k
-    FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+    FROM c1),
 t1 AS (SELECT *, p > 0 AND size <= rest AND sum(CASE WHEN size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k, doc_id, id) <= rest AS a FROM r0),
 -- the sample is a prefix: what follows the first document that does not fit waits for the next round
 g1 AS (SELECT *, coalesce(a, false) AS in1, rest - coalesce(sum(size) FILTER (WHERE a) OVER (PARTITION BY source), 0) AS rest2 FROM t1),

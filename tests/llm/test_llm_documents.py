@@ -269,6 +269,31 @@ def test_mix_repeats_whole_rows(spark):
     assert mixing.mix_documents(wide.where("false")).count() == 0
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    # 2,001 sources with the same 300 documents: every source is one draw
+    sizes = [1, 2, 3, 5, 8, 13, 20, 30, 40, 50, 60, 75, 90, 110, 130] * 20
+    docs = spark.range(2001).crossJoin(spark.createDataFrame(list(enumerate(sizes)), "i int, n int")).selectExpr(
+        "id * 1000 + i as doc_id", "repeat('w ', n) as text", "format_string('s%04d', id) as source", "i", "n", "id")
+    got = mixing.mix_sources(docs, carry=("i", "id")).toPandas()
+    total, squares = sum(sizes), sum(n * n for n in sizes)
+    for nth, weight in enumerate((5, 2, 1)):
+        mine = got[got["id"] % 3 == nth]
+        target = total * 3 * weight / 8
+        assert np.allclose(mine["target"], target)
+        per, large = target / squares, set()
+        while more := {n for n in sizes if per * n >= 3} - large:  # those have three copies
+            large |= more
+            per = (target - 3 * sum(n for n in sizes if n in large)) / sum(n * n for n in sizes if n not in large)
+        want = np.array([3.0 if n in large else per * n for n in sizes])
+        mean = mine.groupby("i")["copies"].mean().to_numpy()
+        # the words of documents with equal sizes are drawn as often as they should be; the gap is closed by one document
+        for n in set(sizes):
+            at = [i for i, s in enumerate(sizes) if s == n]
+            assert abs(mean[at].mean() - want[at].mean()) < 0.06, (weight, n, mean[at].mean(), want[at].mean())
+        words = mine.groupby("id")["taken"].sum()
+        assert abs(words - target).max() <= 1 and mine["copies"].max() <= 3
+
+
 def test_mixing_caps_and_reshares(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 90)], "source string, source_size bigint")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
