@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from html import unescape
 
-#: Elements without content, elements whose content is no text of the page, those in which any
-#: element may close itself, and block elements (fixed values of the HTML standard).
+#: Elements without content, elements whose content is no text of the page (those of ``CLOSED`` only
+#: where they are closed), those in which any element may close itself, and block elements (fixed
+#: values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe".split())
+RAW = frozenset("script style template textarea title iframe".split())
+CLOSED = frozenset("template textarea title iframe".split())
 FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
@@ -18,6 +20,7 @@ _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("d
          "tr": ("tr td th", ("table",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")),
          "option": ("option", ("select",))}
 _SAME = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _SAME.items()}
+_PARAGRAPH = (frozenset(("p",)), frozenset("table td th div article section button".split()))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"""
                     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))|([^<]+|<)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|itemtype)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -49,11 +52,19 @@ class Page:
 
     def _parse(self, html):
         stack, children, tags, at, n = [0], [0], self.tag, 0, len(html)
+        places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+        unclosed = set()  # raw elements without any end tag from here on
 
         def close(k):  # every open element from place k of the stack on
             while len(stack) > k:
-                self.end[stack.pop()] = len(tags)
+                i = stack.pop()
+                self.end[i] = len(tags)
                 children.pop()
+                if stack:
+                    places[tags[i]].pop()
+
+        def last(names):
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
 
         while at < n:
             m = _TOKEN.match(html, at)
@@ -70,34 +81,28 @@ class Page:
                 continue
             name = name.lower()
             if slash:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        close(k)
-                        break
+                if places.get(name):
+                    close(places[name][-1])
                 continue
-            if name in _CLOSES_P:
-                self._close_open(stack, close, ("p",), ("table", "td", "th", "div", "article", "section", "button"))
-            elif name in _SAME:
-                self._close_open(stack, close, *_SAME[name])
+            closes, within = (_PARAGRAPH if name in _CLOSES_P else _SAME.get(name, ((), ())))
+            if (k := last(closes)) > last(within):
+                close(k)
             words = tuple(w.lower() for _, v in _ATTR.findall(attrs) for w in _PART.findall(v)) if "=" in attrs else ()
             i = self._add(stack, children, name, "", words)
-            if name in RAW and not (attrs.endswith("/>") and any(tags[k] in FOREIGN for k in stack)):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else n
+            if name in RAW and not (attrs.endswith("/>") and (name in CLOSED or last(FOREIGN))):
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                    continue
+                unclosed.add(name)
+                if name not in CLOSED:  # a script or style without an end is the rest of the page
+                    break
             elif name not in VOID and not attrs.endswith("/>"):
+                places.setdefault(name, []).append(len(stack))
                 stack.append(i)
                 children.append(0)
         close(0)
 
-    def _close_open(self, stack, close, names, stops):
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                close(k)
-                return
-            if tag in stops:
-                return
-
     def render(self, kept) -> str:
         """The kept text runs: white space made one space, block elements apart."""
         out, ends = [], []

@@ -70,11 +70,11 @@ def node_features(pages: list[Page], tag_odds: dict, word_odds: dict) -> tuple[n
         parent[a] = a
     up = parent.copy()
     # link text: the text under the nearest a
-    link = np.zeros(n)
-    for p, a in zip(pages, first):
-        for i, tag in enumerate(p.tag):
-            if tag == "a":
-                link[a + i:a + p.end[i]] = 1
+    anchors = np.array([t == "a" for p in pages for t in p.tag], bool)
+    inside = np.zeros(n + 1)
+    np.add.at(inside, np.flatnonzero(anchors), 1)
+    np.add.at(inside, end[anchors], -1)
+    link = (inside.cumsum()[:n] > 0).astype(float)
     sums = np.concatenate((np.zeros((1, 8)), np.cumsum(np.column_stack(
         (own, own[:, 0] * link, [t == "p" for p in pages for t in p.tag])), axis=0)))
     sub = sums[end] - sums[np.arange(n)]
@@ -82,12 +82,13 @@ def node_features(pages: list[Page], tag_odds: dict, word_odds: dict) -> tuple[n
     page_of = np.repeat(np.arange(len(pages)), np.diff(first))
     whole = np.maximum(sub[first[:-1], 0][page_of], 1)
     start = sums[np.arange(n), 0] - sums[first[:-1], 0][page_of]
-    # weights met on the way up
+    # weights met on the way up: over 1, 2, 4, ... nodes at a time
     low_tag, low_word, high_word, high_tag = tag_w.copy(), word_w.copy(), word_w.copy(), tag_w.copy()
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
+    above = up
+    for _ in range(int(depth.max(initial=0)).bit_length()):
         for arr, f in ((low_tag, np.minimum), (low_word, np.minimum), (high_word, np.maximum), (high_tag, np.maximum)):
-            arr[at] = f(arr[at], arr[up[at]])
+            arr[:] = f(arr, arr[above])
+        above = above[above]
     siblings = np.bincount(parent, minlength=n)[parent].astype(float)
     order = np.lexsort((np.arange(n), parent))
     near = np.zeros((n, 2))

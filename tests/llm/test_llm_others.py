@@ -98,6 +98,45 @@ def test_embedded_elements_do_not_end_the_page():
         assert " ".join(x for x in (first, c, last) if x) in text and "Home" not in text and "Imprint" not in text
 
 
+def test_layouts_by_hand():
+    from collections import Counter
+
+    from page_shapes import shapes
+    score = []
+    for seed in range(8):
+        for page, words in shapes(np.random.default_rng(seed)):
+            got, want = Counter(html_extract.extractor().extract([page])[0].split()), Counter(words.split())
+            score.append(2 * sum((got & want).values()) / (sum(got.values()) + sum(want.values())))
+    assert np.mean(score) > 0.95 and min(score) > 0.75
+
+
+def test_noscript_and_unclosed_elements():
+    page = ("<body><nav><a href=/>Home</a><a href=/b>Blog</a></nav><article><h1>A title of the page</h1><p>The first words of the article, which go on for a while.</p>{}"
+            "<p>The last words of the article, after the odd element.</p></article><footer>Imprint</footer></body>")
+    first, final = "The first words of the article, which go on for a while.", "The last words of the article, after the odd element."
+    cases = {"<noscript><p>Some words of the article without scripts, to be read by all.</p></noscript>": "Some words of the article without scripts, to be read by all.",
+             "<noscript>": "", "<template>": "", "<template><p>Not shown at all.</p></template>": "", "<iframe src=x />": "", "<iframe src=x>": "",
+             "<iframe src=x>fallback</iframe>": "", "<textarea>": "", "</section></i></div>": "", "<title>": ""}
+    got = html_extract.extractor().extract([page.format(c) for c in cases])
+    for text, (c, inner) in zip(got, cases.items()):
+        assert " ".join(x for x in (first, inner, final) if x) in text, (c, text)
+        assert "Home" not in text and "Imprint" not in text and "Not shown" not in text and "fallback" not in text
+    assert "".join(html_extract.Page("a<noscript>b<i>c</noscript>d<style>x").text) == "abcd"
+
+
+def test_deep_and_unmatched_tags_are_read_in_linear_time():
+    import time
+    n = 100_000
+    pages = ["<p>Some words. " + "<b>" * n + "x" + "</i>" * n, "<div>" * n + "words" + "</div>" * n, "<a href=x>" * n + "y", "<p><span>" + "<div>" * n,
+             "<iframe>" * n + "z", "<li>" + "<b><li>" * (n // 2), "<svg>" + "<title/>" * n, "<p>" * n]
+    ex = html_extract.extractor()
+    for page in pages:
+        begin = time.process_time()
+        ex.extract([page])
+        # linear: seconds, not minutes; the limit leaves room for a slow machine
+        assert time.process_time() - begin < 10, page[:20]
+
+
 # Search ----------------------------------------------------------------------------------------
 
 def brute(ids, vectors, q, k=5):
