@@ -2,11 +2,16 @@
 
 Reads the append-only request log as a stream, assigns event-time windows
 with a watermark for late records and keeps per-window, per-path counts,
-error rate and latency percentiles in state.
+error rate and latency sketches in state.  Finished windows go to a table:
+a micro-batch replaces its own folder (its number is in the path) and then
+writes its line in the ledger, so that a batch repeated after a failure
+neither loses nor doubles a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,9 @@ def windowed_path_stats(log: DataFrame, window: str = "1 hour", watermark: str =
                         exact_percentiles: bool = True) -> DataFrame:
     """Per (event-time window, path): requests, error rate, p50/p95 latency.
     Works on a streaming or a batch frame; event time must be a zoned
-    timestamp for the watermark, so the NTZ log time is cast first."""
+    timestamp for the watermark, so the NTZ log time is cast first.  Without
+    ``exact_percentiles`` the state holds mergeable sketches of bounded size
+    instead of every latency."""
     ts = F.col("timestamp_utc").cast("timestamp")
     df = log.withColumn("event_time", ts).withWatermark("event_time", watermark)
     pct = ((lambda p: F.percentile("latency_ms", p)) if exact_percentiles
@@ -38,11 +45,31 @@ def windowed_path_stats(log: DataFrame, window: str = "1 hour", watermark: str =
                       "path", "requests", "error_rate", "p50_latency_ms", "p95_latency_ms"))
 
 
-def start_monitoring(spark: SparkSession, log_path: str, checkpoint: str, sink_table: str,
-                     window: str = "1 hour", watermark: str = "2 hours"):
-    """Run the windowed stats into a memory table (append mode: a window is
-    emitted once the watermark passes its end).  ``checkpoint`` must be on
-    the shared file system so the query restarts after executor loss."""
-    stats = windowed_path_stats(request_stream(spark, log_path), window, watermark)
-    return (stats.writeStream.outputMode("append").format("memory").queryName(sink_table)
-                 .option("checkpointLocation", checkpoint).start())
+def _batch_path(out: str, what: str, batch: int) -> str:
+    return f"{out.rstrip('/')}/{what}/batch={batch:012d}"
+
+
+def write_batch(rows: DataFrame, batch: int, out: str) -> None:
+    """One micro-batch of finished windows: its rows, then its line in the ledger."""
+    rows.coalesce(1).write.mode("overwrite").parquet(_batch_path(out, "windows", batch))
+    n = rows.sparkSession.read.schema(rows.schema).parquet(_batch_path(out, "windows", batch)).count()
+    line = rows.sparkSession.createDataFrame([(batch, n)], "batch_id bigint, rows bigint")
+    line.coalesce(1).write.mode("overwrite").parquet(_batch_path(out, "ledger", batch))
+
+
+def read_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The windows of the batches that the ledger lists."""
+    done = spark.read.parquet(f"{out.rstrip('/')}/ledger").select("batch")
+    return spark.read.parquet(f"{out.rstrip('/')}/windows").join(done, "batch", "left_semi").drop("batch")
+
+
+def start_monitoring(spark: SparkSession, log_path: str, checkpoint: str, out: str, window: str = "1 hour",
+                     watermark: str = "2 hours", max_files_per_trigger: int | None = None, available_now: bool = False,
+                     write: Callable[[DataFrame, int, str], None] = write_batch):
+    """Run the windowed stats into the table ``out`` (append mode: a window is
+    emitted once the watermark passes its end).  ``checkpoint`` and ``out`` must be
+    on the shared file system, so that the query goes on after it is stopped anywhere."""
+    stats = windowed_path_stats(request_stream(spark, log_path, max_files_per_trigger), window, watermark, False)
+    sink = (stats.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+                 .foreachBatch(lambda rows, batch: write(rows, batch, out)))
+    return (sink.trigger(availableNow=True) if available_now else sink).start()
