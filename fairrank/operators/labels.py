@@ -308,6 +308,21 @@ def split_dataset_summary(ds: DataFrame, cfg: SplitCfg) -> DataFrame:
         F.lit(cfg.pos_target).alias("pos_target"))
 
 
+def target_differences(ds: DataFrame, window: DataFrame, mode: str = "binary") -> DataFrame:
+    """The dataset's positive pairs against the targets recomputed from the label window, by a null-safe
+    keyed difference: ClientID, ProductID, change (changed, missing or surplus in the dataset), old_target, new_target."""
+    old = ds.where("label = 1").select(*PAIR, F.col("target").alias("old_target"), F.lit(True).alias("__a"))
+    new = positives(window, mode).select(F.col("ClientID").alias("__c"), F.col("ProductID").alias("__p"),
+                                         F.col("target").cast("bigint").alias("new_target"), F.lit(True).alias("__b"))
+    both = old.join(new, F.col("ClientID").eqNullSafe(F.col("__c")) & F.col("ProductID").eqNullSafe(F.col("__p")), "full")
+    change = (F.when(F.col("__a").isNull(), "missing").when(F.col("__b").isNull(), "surplus")
+               .when(~F.col("old_target").eqNullSafe(F.col("new_target")), "changed"))
+    return both.withColumn("change", change).where("change is not null").select(
+        F.when(F.col("__a").isNull(), F.col("__c")).otherwise(F.col("ClientID")).alias("ClientID"),
+        F.when(F.col("__a").isNull(), F.col("__p")).otherwise(F.col("ProductID")).alias("ProductID"),
+        "change", "old_target", "new_target")
+
+
 # ---------------------------------------------------------------------------
 # L12-L15 split validation
 # ---------------------------------------------------------------------------

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from fairrank.operators.boosting import BoostedModel, BoostingParams, fit_boosting
 from fairrank.operators.curves import score_metrics
 from fairrank.operators.forest import ForestModel, ForestParams, fit_forest
+from fairrank.operators.order import rank_within
 from fairrank.operators.ranking import group_ranking_metrics
 from fairrank.sources.tables import materialize, table_path
 
@@ -54,6 +55,47 @@ def grouped_folds(df: DataFrame, k: int = 3, key: str = "ClientID", col: str = "
     return df.withColumn(col, F.pmod(bits, F.lit(k)).cast("int"))
 
 
+def _dealing(size: int, groups: int, loads: list[int]) -> list[tuple[int, int, list[int]]]:
+    """How ``groups`` groups of ``size`` rows go to the lightest fold (the first of several) one after the
+    other: (first, last, folds in turn) of the groups' ranks.  Adds to ``loads``."""
+    out, at = [], 1
+    while at <= groups:
+        order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+        # folds within one group of the lightest take turns until they reach the next one
+        turn = [f for f in order if loads[f] < loads[order[0]] + size]
+        others = [loads[f] for f in order if f not in turn]
+        rounds = (groups - at + 1) // len(turn)
+        if others:
+            rounds = min(rounds, (min(others) - max(loads[f] for f in turn)) // size)
+        if rounds > 0:
+            for f in turn:
+                loads[f] += rounds * size
+            out.append((at, at + rounds * len(turn) - 1, turn))
+            at += rounds * len(turn)
+        else:
+            loads[order[0]] += size
+            out.append((at, at, order[:1]))
+            at += 1
+    return out
+
+
+def balanced_folds(df: DataFrame, k: int = 3, key: str = "ClientID", col: str = "fold") -> DataFrame:
+    """M9: (``key``, rows, ``col``): folds of about equal numbers of rows, a key in one fold only.
+
+    Groups go longest first (ties by key) to the lightest fold.  The dealing needs the histogram of group
+    sizes alone (at most the root of twice the rows); a group's turn is its rank among those of its size."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialize(sizes, "folds", uuid.uuid4().hex)
+    loads, deals = [0] * k, []
+    for r in sizes.groupBy("rows").count().orderBy(F.desc("rows")).collect():
+        deals += [(r["rows"], *d) for d in _dealing(r["rows"], r["count"], loads)]
+    plan = df.sparkSession.createDataFrame(deals, "__size bigint, __first bigint, __last bigint, __turn array<int>")
+    ranked = rank_within(sizes, "rows", [F.col(key).asc_nulls_first()], "__nth")
+    on = (F.col("rows") == F.col("__size")) & F.col("__nth").between(F.col("__first"), F.col("__last"))
+    turn = F.element_at("__turn", ((F.col("__nth") - F.col("__first")) % F.size("__turn") + 1).cast("int"))
+    return ranked.join(plan, on).select(key, "rows", turn.alias(col))
+
+
 def with_balance_weight(df: DataFrame, label_col: str = "label", out_col: str = "weight",
                         base_col: str | None = None) -> DataFrame:
     """E13 as a weight column: positives weigh neg/pos, negatives 1 (times an

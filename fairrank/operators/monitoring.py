@@ -6,6 +6,7 @@ reproducible; the log is an append-only table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def read_reports(spark, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).parquet(path)
 
 
-def read_report_files(spark, pattern: str) -> DataFrame:
+def read_report_files(spark, pattern: str | list[str]) -> DataFrame:
     """S9 backfill: JSON summary files -> reports table, file mtime as generated_at."""
     df = spark.read.option("multiLine", True).json(pattern).select("*", "_metadata.file_name",
                                                                      "_metadata.file_modification_time")
@@ -101,6 +102,24 @@ def read_report_files(spark, pattern: str) -> DataFrame:
                      F.col("focus_post") if "focus_post" in cols else none.alias("focus_post"))
 
 
+def backfill_reports(spark, folder: str, table: str) -> int:
+    """The summary files of ``folder`` that the history at ``table`` doesn't have yet (by name and modification
+    time) become rows of it; returns how many.  Only the new files are opened: the listing comes from file metadata."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", "modificationTime")
+    listed = listed.select("path", F.element_at(F.split("path", "/"), -1).alias("report"),
+                           F.col("modificationTime").cast("timestamp_ntz").alias("generated_at"))
+    try:
+        known = read_reports(spark, table).select("report", "generated_at")
+        listed = listed.join(known, ["report", "generated_at"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new = [r.path for r in listed.select("path").collect()]  # names of new files, one per job that ran
+    if new:
+        append_report(read_report_files(spark, new), table)
+    return len(new)
+
+
 def monitoring_snapshot(log: DataFrame, reports: DataFrame | None, as_of, window_hours: int = 24) -> dict:
     """The three monitoring frames of one snapshot."""
     return {"api": monitoring_summary(log, as_of, window_hours),

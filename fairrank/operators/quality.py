@@ -52,6 +52,26 @@ def canonical_report(tables: dict[str, DataFrame], pks: dict[str, Sequence[str]
     return out
 
 
+def canonical_checks(tables: dict[str, DataFrame], top: int = 15) -> DataFrame:
+    """Q6, the rest of the report, in long form (section, table, item, value): rows of transactions and stocks
+    whose keys no dimension knows, transactions that share client, product, time and store (reported, not
+    dropped), and each table's ``top`` columns by NULL %, ties by name."""
+    from fairrank.operators.interactions import orphan_counts
+    tx = tables["transactions"]
+    orphans = orphan_counts(tx, tables["clients"], tables["products"], tables["stores"], tables["stocks"])
+    keys = ["ClientID", "ProductID", "SaleTransactionDate", "StoreID"]
+    parts = [_unpivot(orphans, orphans.columns, "item", "value").select(F.lit("key_consistency").alias("section"),
+                                                                         F.lit("transactions").alias("table"), "item", F.col("value").cast("double").alias("value")),
+             key_duplicate_rows(tx, keys, "n").select(F.lit("suspicious_duplicates"), F.lit("transactions"), F.lit("+".join(keys)), F.col("n").cast("double"))]
+    for name, df in tables.items():
+        worst = null_percent(df).orderBy(F.desc("null_percent"), "column").limit(top)
+        parts.append(worst.select(F.lit("top_nulls"), F.lit(name), "column", F.col("null_percent").cast("double")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Q7: count, mean, std (ddof=1), min, p1..p99 (linear interpolation), max
     per numeric column (honours ``cols``; all numeric columns when None)."""

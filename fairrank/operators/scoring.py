@@ -46,11 +46,9 @@ def fallback_affinity(split: DataFrame) -> DataFrame:
 
 
 def model_affinity(split: DataFrame, model, features: list[str] | None = None) -> DataFrame:
-    """P(label = 1) from a fitted Spark ML PipelineModel."""
-    from pyspark.ml.functions import vector_to_array
-    scored = model.transform(split)
-    return (scored.withColumn("affinity_score", vector_to_array("probability")[1])
-                  .select(*split.columns, "affinity_score"))
+    """P(label = 1) from a fitted model of any kind."""
+    from fairrank.operators.ml import predict_proba
+    return predict_proba(model, split, "affinity_score").select(*split.columns, "affinity_score")
 
 
 def select_feature_columns(df: DataFrame, ranked: list[str] | None = None,

@@ -107,5 +107,5 @@ def oracle(name: str, doubles: list[str] | None = None, extra_ctes: str = ""):
 
 
 def oracle_sql() -> dict[str, str]:
-    from fairrank.plans import oracle_core, oracle_ops, oracle_reco  # noqa: F401
+    from fairrank.plans import oracle_core, oracle_more, oracle_ops, oracle_reco  # noqa: F401
     return dict(ORACLE)

@@ -33,9 +33,8 @@ def q_canonical_report(ctx: Context):
     return quality.canonical_report(t, pks, {n: dedupe.dedupe_table(n, df, pks[n]) for n, df in t.items()})
 
 
-@query("ingested_transactions")
-def q_ingest(ctx: Context):
-    """The transactions as CSV text with padding and bad values, read under their contract."""
+def transactions_csv(ctx: Context) -> str:
+    """The transactions as CSV text with padding and bad values; the path of the files."""
     q = F.pmod("Quantity", F.lit(5))
     text = ctx.domain["transactions"].select(
         F.format_string(" %d ", "ClientID").alias("ClientID"), F.format_string("%d.0", "ProductID").alias("ProductID"),
@@ -47,7 +46,13 @@ def q_ingest(ctx: Context):
         F.when(q == 3, F.lit("nan")).otherwise(F.col("SalesNetAmountEuro").cast("string")).alias("SalesNetAmountEuro"))
     path = table_path(ctx.spark, ctx.sf_dir, f"transactions_csv_{uuid.uuid4().hex}")
     text.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return read_csv_with_contract(ctx.spark, path, CONTRACTS["transactions"])
+    return path
+
+
+@query("ingested_transactions")
+def q_ingest(ctx: Context):
+    """The transactions as CSV text with padding and bad values, read under their contract."""
+    return read_csv_with_contract(ctx.spark, transactions_csv(ctx), CONTRACTS["transactions"])
 
 
 @query("contract_violations")

@@ -110,5 +110,5 @@ def query(name: str):
 
 def queries() -> dict[str, QueryFn]:
     # importing the query modules fills QUERIES
-    from fairrank.plans import queries_core, queries_ops, queries_reco  # noqa: F401
+    from fairrank.plans import queries_core, queries_more, queries_ops, queries_reco  # noqa: F401
     return dict(QUERIES)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,10 @@ COERCERS = {
 
 def coerce_to_contract(df: DataFrame, contract: Contract) -> DataFrame:
     """Apply declared coercions and value maps; undeclared columns pass through."""
+    return df.select(*_coercions(df, contract))
+
+
+def _coercions(df: DataFrame, contract: Contract) -> list[Column]:
     out = []
     for f in df.schema.fields:
         spec = contract.columns.get(f.name)
@@ -154,7 +158,7 @@ def coerce_to_contract(df: DataFrame, contract: Contract) -> DataFrame:
                 coerced = map_values(coerced, contract.value_normalization[f.name])
             c = coerced
         out.append(c.alias(f.name))
-    return df.select(out)
+    return out
 
 
 def contract_errors(df: DataFrame, contract: Contract) -> DataFrame:
@@ -196,5 +200,39 @@ def read_csv_with_contract(spark: SparkSession, path: str, contract: Contract,
     return ingest_frame(raw, contract, known_products, raise_on_error)
 
 
+# Texts that stand for a missing value (fixed values).
+_MISSING = ("", "nan", "null", "none")
+
+
+def violations(df: DataFrame, contract: Contract) -> Column:
+    """Per row of text columns an array of what breaks the contract: values that
+    the declared type can't take, and missing values of required columns."""
+    coerced = {f.name: e for f, e in zip(df.schema.fields, _coercions(df, contract))}
+    found = []
+    for name, spec in contract.columns.items():
+        if name not in df.columns:
+            continue
+        given = ~F.lower(_strip(F.coalesce(F.col(name).cast("string"), F.lit("")))).isin(*_MISSING)
+        found.append(F.when(given & coerced[name].isNull(), F.lit(f"{name}: not a {spec.type}"))
+                      .when(~given & F.lit(spec.required), F.lit(f"{name}: missing")))
+    return F.array_compact(F.array(*found))
+
+
+def ingest_with_quarantine(df: DataFrame, contract: Contract, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """One pass writes all rows below ``path``, valid ones and rejected ones apart.
+
+    Returns the valid rows under the contract's types, the rejected rows (the same columns, their
+    violations and the text as it came) and the counts seen while writing."""
+    out = df.select(*_coercions(df, contract), violations(df, contract).alias("violations"),
+                    F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])).alias("as_read"))
+    out = out.withColumn("rejected", (F.size("violations") > 0).cast("int"))
+    seen = Observation()
+    (out.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"))
+        .write.mode("overwrite").partitionBy("rejected").parquet(path))
+    stored = df.sparkSession.read.schema(out.schema).parquet(path)
+    valid = stored.where("rejected = 0").select(*df.columns)
+    return valid, stored.where("rejected = 1").select(*df.columns, "violations", "as_read"), seen.get
+
+
 def ingest_to_parquet(df: DataFrame, out_path: str) -> None:
     df.write.mode("overwrite").parquet(out_path)
