@@ -13,8 +13,10 @@ import math
 import random
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -27,7 +29,7 @@ from fairrank.operators.curves import score_metrics
 from fairrank.operators.forest import ForestModel, ForestParams, fit_forest
 from fairrank.operators.order import rank_within
 from fairrank.operators.ranking import group_ranking_metrics
-from fairrank.sources.tables import materialize, table_path
+from fairrank.sources.tables import materialize, read_dated, table_path, write_dated
 
 # Fixed values, the reference's model settings: LR (L2, balanced, C = 1), RF 400 trees / min leaf 2,
 # boosted trees 600 rounds of depth 8 on 0.8 of the rows and columns.
@@ -42,7 +44,8 @@ _BOOSTING_NAMES = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "step_s
                    "featureSubsetStrategy": "column_share"}
 # What models are chosen by.
 METRICS = ("pr_auc", "roc_auc", "map_at_k", "recall_at_k")
-# Fixed values of the feature ranking: 300 rounds of up to 64 leaves.
+# Fixed values of the feature curve (400 rounds of up to 96 leaves) and ranking (300 rounds, 64 leaves).
+CURVE_PARAMS = {"maxIter": 400, "maxDepth": 7, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
 RANKING_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                   "featureSubsetStrategy": "0.9"}
 
@@ -249,24 +252,47 @@ def curve_grid(n_features: int) -> list[int]:
     return list(range(5, min(50, n_features) + 1, 5)) or [n_features]
 
 
+#: Trials that are fitted side by side.
+WORKERS = 8
+
+
+def run_trials(spark: SparkSession, path: str, trials: dict[str, Callable[[], DataFrame]], workers: int = WORKERS) -> DataFrame:
+    """The one-row results of all trials, each with its name as column ``trial``.
+
+    Trials run side by side, as jobs of their own; a trial's row is written below ``path`` when it is done, and a
+    trial whose row is there is not run again, so that an interrupted search goes on where it was."""
+    done = {n: t for n in trials if (t := read_dated(spark, path, n)) is not None}
+
+    def run(name: str) -> None:
+        write_dated(trials[name]().coalesce(1), path, name)
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        for f in [pool.submit(inheritable_thread_target(spark)(run), n) for n in trials if n not in done]:
+            f.result()
+    return spark.read.parquet(path).withColumn("trial", F.col("cutoff").cast("string")).drop("cutoff").where(F.col("trial").isin(list(trials)))
+
+
 def topk_feature_curve(df: DataFrame, ranked: Sequence[str], ks: Sequence[int] | None = None,
-                       folds: int = 3, kind: str = "gbt", **params) -> DataFrame:
+                       folds: int = 3, kind: str = "gbt", path: str | None = None, **params) -> DataFrame:
     """M8: for each k, grouped k-fold CV of a model on the top-k features;
-    mean / std (ddof=0) of PR-AUC and ROC-AUC per k; ``best`` flags argmax."""
-    d = grouped_folds(df, folds)
+    mean / std (ddof=0) of PR-AUC and ROC-AUC per k; ``best`` flags argmax.
+    The fits are trials below ``path`` (see ``run_trials``)."""
     if not ranked:
         raise ValueError("no features to choose from")
-    out = []
-    for k in sorted({min(k, len(ranked)) for k in (ks or curve_grid(len(ranked)))}):
-        feats = list(ranked[:k])
-        for f in range(folds):
+    spark = df.sparkSession
+    path = path or table_path(spark, "models", f"curve-{uuid.uuid4().hex}")
+    d = materialize(grouped_folds(df, folds), "curves", uuid.uuid4().hex)
+
+    def trial(k: int, f: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
             fit_on = d.where(F.col("fold") != f)
-            m = build_pipeline(kind, feats, total_weight=total_weight(fit_on), **params).fit(fit_on)
-            ev = score_metrics(predict_proba(m, d.where(F.col("fold") == f)), "label", "proba")
-            out.append(ev.select(F.lit(k).alias("k"), F.lit(f).alias("fold"), "pr_auc", "roc_auc"))
-    res = out[0]
-    for r in out[1:]:
-        res = res.unionByName(r)
+            m = fit_model(kind, fit_on, list(ranked[:k]), total=total_weight(fit_on), path=f"{path}-fits/k={k}/fold={f}", **params)
+            scored = materialize(predict_proba(m, d.where(F.col("fold") == f)).select("label", "proba"), "predictions", uuid.uuid4().hex)
+            return score_metrics(scored, "label", "proba").select(F.lit(k).alias("k"), F.lit(f).alias("fold"), "pr_auc", "roc_auc")
+        return run
+
+    sizes = sorted({min(k, len(ranked)) for k in (ks or curve_grid(len(ranked)))})
+    res = run_trials(spark, path, {f"k={k:03d},fold={f}": trial(k, f) for k in sizes for f in range(folds)})
     curve = res.groupBy("k").agg(F.avg("pr_auc").alias("pr_auc_mean"), F.stddev_pop("pr_auc").alias("pr_auc_std"),
                                  F.avg("roc_auc").alias("roc_auc_mean"), F.stddev_pop("roc_auc").alias("roc_auc_std"))
     best = curve.agg(F.max_by("k", F.struct("pr_auc_mean", -F.col("k"))).alias("__best"))
@@ -309,12 +335,14 @@ class SearchResult:
 
 def random_search(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], kind: str,
                   metric: str = "pr_auc", n_trials: int = 10, folds: int = 3, seed: int = 42,
-                  space: dict | None = None, weigh: Callable[[DataFrame], DataFrame] | None = None) -> SearchResult:
+                  space: dict | None = None, weigh: Callable[[DataFrame], DataFrame] | None = None,
+                  path: str | None = None) -> SearchResult:
     """Seeded random search by the mean ``metric`` of a grouped CV, then a
     refit of the best set on the whole train split, scored on val and test.
 
     ``weigh`` adds fairness weights (X8) as column ``sample_weight`` to what is
-    fitted on, computed anew for each fold (M11); they multiply the class balance."""
+    fitted on, computed anew for each fold (M11); they multiply the class balance.
+    Trials run side by side; a search with the same ``path`` goes on where it was (see ``run_trials``)."""
     _check_metric(metric)
     rnd = random.Random(seed)
     space = space or SEARCH_SPACES[kind]
@@ -322,18 +350,17 @@ def random_search(train: DataFrame, val: DataFrame, test: DataFrame, features: S
 
     def fit(rows: DataFrame, params: dict) -> PipelineModel:
         weighed = with_balance_weight(weigh(rows) if weigh else rows, base_col="sample_weight" if weigh else None)
-        return build_pipeline(kind, features, weight_col="weight", seed=seed,
-                              total_weight=total_weight(weighed, "weight"), **params).fit(weighed)
-
-    sets, out = [], None
-    for t in range(n_trials):
-        sets.append(draw_params(space, rnd))
-        for f in range(folds):
-            m = fit(d.where(F.col("fold") != f), sets[t])
-            row = evaluate(m, d.where(F.col("fold") == f)).select(
-                F.lit(t).alias("trial"), F.lit(str(sets[t])).alias("params"), F.col(metric).alias("value"))
-            out = row if out is None else out.unionByName(row)
-    trials = materialize(out.groupBy("trial", "params").agg(F.avg("value").alias(f"cv_{metric}")),
+        return fit_model(kind, weighed, features, "weight", total_weight(weighed, "weight"), seed=seed, **params)
+
+    path = path or table_path(train.sparkSession, "models", f"search-{uuid.uuid4().hex}")
+    sets = [draw_params(space, rnd) for _ in range(n_trials)]
+
+    def trial(t: int, f: int) -> Callable[[], DataFrame]:
+        return lambda: evaluate(fit(d.where(F.col("fold") != f), sets[t]), d.where(F.col("fold") == f)).select(
+            F.lit(t).alias("nth"), F.lit(str(sets[t])).alias("params"), F.col(metric).alias("value"))
+
+    out = run_trials(train.sparkSession, path, {f"{t:04d},{f}": trial(t, f) for t in range(n_trials) for f in range(folds)})
+    trials = materialize(out.groupBy(F.col("nth").alias("trial"), "params").agg(F.avg("value").alias(f"cv_{metric}")),
                          "search", uuid.uuid4().hex)
     best = sets[trials.orderBy(F.desc(f"cv_{metric}"), F.asc("trial")).first()["trial"]]
     model = fit(train, best)

@@ -313,7 +313,16 @@ def q_importance(ctx: Context):
     """M7: boosted-tree feature ranking on the train split."""
     from fairrank.operators import ml
     s = _split_at(ctx, "train")
-    return ml.feature_ranking(s, _features(s))
+    return ctx._memo("feature_importance", lambda: ml.feature_ranking(s, _features(s)))
+
+
+@query("feature_curve")
+def q_curve(ctx: Context):
+    """M8: grouped 3-fold CV on the best 5, 10, ... features of the ranking, and the best k."""
+    from fairrank.operators import ml
+    ranked = [r.feature for r in q_importance(ctx).orderBy("rank").collect()]  # a row per column
+    path = table_path(ctx.spark, ctx.sf_dir, f"feature_curve_{uuid.uuid4().hex}")
+    return ml.topk_feature_curve(_split_at(ctx, "train"), ranked, path=path, **ml.CURVE_PARAMS)
 
 
 def _leaderboard(ctx: Context):

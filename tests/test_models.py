@@ -2,6 +2,7 @@
 
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,39 @@ def test_model_scored_lists_blend_and_order(spark):
         rows.sort()
         assert [k for k, _ in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 10
         assert all(a[1] >= b[1] - 1e-6 for a, b in zip(rows, rows[1:]))
+
+
+def test_curve_and_search_resume(spark, tmp_path, monkeypatch):
+    train, val, test = (_rows(spark, s) for s in (1, 2, 3))
+    fitted = []
+    plain = ml.fit_model
+    monkeypatch.setattr(ml, "fit_model", lambda *a, **k: fitted.append(1) or plain(*a, **k))
+    args = dict(ks=[1, 2], folds=2, path=str(tmp_path / "curve"), maxIter=5, maxDepth=2, stepSize=0.3)
+    curve = sorted(map(tuple, ml.topk_feature_curve(train, ["x", "z"], **args).collect()))
+    assert len(fitted) == 4 and [r[0] for r in curve] == [1, 2] and sum(r[-1] for r in curve) == 1 and min(r[1] for r in curve) > 0.8
+    assert sorted(map(tuple, ml.topk_feature_curve(train, ["x", "z"], **args).collect())) == curve and len(fitted) == 4
+    # an interrupted curve lacks one trial of four: only that one is fitted, to the same result
+    shutil.copytree(tmp_path / "curve", tmp_path / "part", ignore=shutil.ignore_patterns("*k=002,fold=1*", "*k%3D002*fold%3D1*"))
+    args["path"] = str(tmp_path / "part")
+    assert sorted(map(tuple, ml.topk_feature_curve(train, ["x", "z"], **args).collect())) == curve and len(fitted) == 5
+    space = {"gbt": {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 3), "stepSize": ("log", 0.1, 0.3)},
+             "rf": {"numTrees": ("int", 3, 6), "maxDepth": ("int", 2, 4), "minInstancesPerNode": ("int", 1, 3)}}
+    for kind in ("gbt", "rf"):
+        fitted.clear()
+        one = ml.random_search(train, val, test, ["x", "z"], kind, n_trials=2, folds=2, space=space[kind], path=str(tmp_path / kind))
+        assert len(fitted) == 5  # 2 trials x 2 folds and the refit
+        more = ml.random_search(train, val, test, ["x", "z"], kind, n_trials=3, folds=2, space=space[kind], path=str(tmp_path / kind))
+        assert len(fitted) == 5 + 3  # the new trial's folds and the refit
+        old, new = ({r.trial: tuple(r) for r in s.trials.collect()} for s in (one, more))
+        assert {k: new[k] for k in old} == old and len(new) == 3
+        best = max(sorted(new), key=lambda t: new[t][2])
+        assert str(more.params) == new[best][1] and {r.split for r in more.metrics.collect()} == {"val", "test"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_registered_ranking_and_curve(spark):
+    rows = E.queries()["feature_importance"](spark, SF).orderBy("rank").collect()
+    again = E.queries()["feature_importance"](spark, SF).orderBy("rank").collect()
+    assert rows == again and [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and len({r.feature for r in rows}) == len(rows)
+    assert sum(r.importance for r in rows) == pytest.approx(1, abs=1e-4)
+    assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
