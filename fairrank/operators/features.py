@@ -108,8 +108,8 @@ def user_features(interactions: DataFrame, cutoff: str | None = None,
         F.count("txn_date").alias("txns"),
         _zsum(F.col("Quantity")).alias("qty_sum"),
         _zmoney("SalesNetAmountEuro").alias("eur_sum"),
-        F.min("txn_date").alias("first_dt"),
-        F.max("txn_date").alias("last_dt"),
+        F.min("txn_date").alias("first_txn"),
+        F.max("txn_date").alias("last_txn"),
         F.avg(amt).alias("basket_mean"),
         median.alias("basket_median"),
     )
@@ -128,14 +128,14 @@ def user_features(interactions: DataFrame, cutoff: str | None = None,
     out = base.join(prof, "ClientID", "left")
     return out.select(
         "ClientID", "txns", "qty_sum", "eur_sum",
-        elapsed_days_clipped("__ref", "last_dt").alias("recency_days"),
+        elapsed_days_clipped("__ref", "last_txn").alias("recency_days"),
         "basket_mean", "basket_median",
         F.coalesce("n_products", F.lit(0)).alias("n_products"),
         F.coalesce("n_categories", F.lit(0)).alias("n_categories"),
         F.coalesce("n_stores", F.lit(0)).alias("n_stores"),
         "pref_store_country", "pref_client_country", "top_category", "top_family_lvl1",
         "month_entropy", "dow_entropy",
-        elapsed_days_clipped("last_dt", "first_dt").alias("customer_age_days"),
+        elapsed_days_clipped("last_txn", "first_txn").alias("customer_age_days"),
     )
 
 
@@ -155,8 +155,8 @@ def product_features(interactions: DataFrame, cutoff: str | None = None,
         F.count("txn_date").alias("t"),
         F.sum("Quantity").alias("q"),
         F.sum(amt).alias("e"),
-        F.min("txn_date").alias("first_dt"),
-        F.max("txn_date").alias("last_dt"),
+        F.min("txn_date").alias("first_txn"),
+        F.max("txn_date").alias("last_txn"),
         F.max("Category").alias("category"),
         F.max("FamilyLevel1").alias("family_lvl1"),
         F.max("FamilyLevel2").alias("family_lvl2"),
@@ -180,8 +180,8 @@ def product_features(interactions: DataFrame, cutoff: str | None = None,
         F.max("family_lvl1").alias("family_lvl1"),
         F.max("family_lvl2").alias("family_lvl2"),
         F.max("universe").alias("universe"),
-        F.min("first_dt").alias("first_dt"),
-        F.max("last_dt").alias("last_dt"),
+        F.min("first_txn").alias("first_txn"),
+        F.max("last_txn").alias("last_txn"),
         F.max("__ref").alias("__ref"),
     ]
     for d in velocity_days:
@@ -198,8 +198,8 @@ def product_features(interactions: DataFrame, cutoff: str | None = None,
         "ProductID", "txns", "buyers", "qty_sum", "eur_sum",
         "category", "family_lvl1", "family_lvl2", "universe", *vel_cols,
         safe_ratio("eur_sum", "qty_sum").alias("eur_per_qty"),
-        elapsed_days_clipped("last_dt", "first_dt").alias("product_age_days"),
-        elapsed_days_clipped("__ref", "last_dt").alias("days_since_sold"),
+        elapsed_days_clipped("last_txn", "first_txn").alias("product_age_days"),
+        elapsed_days_clipped("__ref", "last_txn").alias("days_since_sold"),
     )
 
 
@@ -213,14 +213,14 @@ def user_rfm(interactions: DataFrame, cutoff: str | None = None) -> DataFrame:
         F.count("txn_date").alias("freq_txns"),
         _zsum(F.col("Quantity")).alias("qty_sum"),
         _zmoney("SalesNetAmountEuro").alias("eur_sum"),
-        F.min("txn_date").alias("first_dt"),
-        F.max("txn_date").alias("last_dt"),
+        F.min("txn_date").alias("first_txn"),
+        F.max("txn_date").alias("last_txn"),
     )
     g = with_ref_date(g, df, cutoff)
     return g.select(
         "ClientID", "freq_txns", "qty_sum", "eur_sum",
-        elapsed_days_clipped("__ref", "last_dt").alias("recency_days"),
-        elapsed_days_clipped("last_dt", "first_dt").alias("tenure_days"),
+        elapsed_days_clipped("__ref", "last_txn").alias("recency_days"),
+        elapsed_days_clipped("last_txn", "first_txn").alias("tenure_days"),
         safe_ratio("eur_sum", "freq_txns").alias("avg_basket_eur"),
     )
 
@@ -232,14 +232,14 @@ def client_product_recency(interactions: DataFrame, cutoff: str | None = None) -
         F.count("txn_date").alias("cp_txns"),
         _zsum(F.col("Quantity")).alias("cp_qty_sum"),
         _zmoney("SalesNetAmountEuro").alias("cp_eur_sum"),
-        F.min("txn_date").alias("cp_first_dt"),
-        F.max("txn_date").alias("cp_last_dt"),
+        F.min("txn_date").alias("cp_first_txn"),
+        F.max("txn_date").alias("cp_last_txn"),
     )
     g = with_ref_date(g, df, cutoff)
     return g.select(
         "ClientID", "ProductID", "cp_txns", "cp_qty_sum", "cp_eur_sum",
-        elapsed_days_clipped("__ref", "cp_last_dt").alias("days_since_last_cp"),
-        elapsed_days_clipped("cp_last_dt", "cp_first_dt").alias("cp_tenure_days"),
+        elapsed_days_clipped("__ref", "cp_last_txn").alias("days_since_last_cp"),
+        elapsed_days_clipped("cp_last_txn", "cp_first_txn").alias("cp_tenure_days"),
     )
 
 

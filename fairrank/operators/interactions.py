@@ -126,5 +126,5 @@ def load_interactions(collapsed: DataFrame | None, raw: DataFrame | None) -> Dat
     """Prefer the collapsed table, else the raw one; normalise txn_date."""
     src = collapsed if collapsed is not None else raw
     if src is None:
-        raise FileNotFoundError("No interactions data available")
+        raise FileNotFoundError("neither collapsed nor raw interactions were given")
     return src.withColumn("txn_date", normalize_txn_date("txn_date"))

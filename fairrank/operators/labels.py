@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairrank.config import PAIR_FILL_DEFAULTS, PRODUCT_IDENTITY, SplitCfg
+from fairrank.config import PAIR_FILL_DEFAULTS, PRODUCT_IDENTITY, LabelledSplit
 from fairrank.functions.columns import clip_lower0, is_numeric
 from fairrank.operators import features as feats
 from fairrank.operators.order import global_rank, rank_within
@@ -271,18 +271,18 @@ def assemble_dataset(candidates: DataFrame, window: DataFrame, features: dict[st
     return feats.clip_nonnegative_prefixed(df)
 
 
-def build_split_dataset(full: DataFrame, cfg: SplitCfg, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+def build_split_dataset(full: DataFrame, cfg: LabelledSplit, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """history/window -> candidates -> features at the cutoff -> dataset.
 
     ``stored``: the feature tables of the cutoff (user, product, cp, category), as
     a feature store holds them.  Without them they are built here; user and pair
     features, which depend on a client's own rows alone, for the clients that
     have candidates."""
-    history, window = history_window(full, cfg.cutoff, cfg.label_days)
-    cand = _stage(build_candidates(history, window, cfg.negatives_per_pos, cfg.hard_negatives,
-                                   cfg.random_state, cfg.cap_negatives), "candidates")
+    history, window = history_window(full, cfg.cutoff, cfg.days)
+    cand = _stage(build_candidates(history, window, cfg.negatives.per_positive, cfg.negatives.order,
+                                   cfg.negatives.seed, cfg.negatives.most), "candidates")
     if stored is not None:
-        return assemble_dataset(cand, window, stored, cfg.pos_target)
+        return assemble_dataset(cand, window, stored, cfg.target)
     theirs = full.join(cand.select("ClientID").distinct(), "ClientID", "left_semi")
     fts = {
         "user": feats.user_features(theirs, cfg.cutoff),
@@ -290,22 +290,22 @@ def build_split_dataset(full: DataFrame, cfg: SplitCfg, stored: dict[str, DataFr
         "cp": feats.client_product_recency(theirs, cfg.cutoff),
         "category": feats.category_features(full, cfg.cutoff),
     }
-    return assemble_dataset(cand, window, fts, cfg.pos_target)
+    return assemble_dataset(cand, window, fts, cfg.target)
 
 
-def split_dataset_summary(ds: DataFrame, cfg: SplitCfg) -> DataFrame:
+def split_dataset_summary(ds: DataFrame, cfg: LabelledSplit) -> DataFrame:
     """Q18: label-sampling counts for one split."""
     return ds.agg(
         F.lit(cfg.name).alias("split"), F.lit(cfg.cutoff).alias("cutoff"),
-        F.lit(cfg.label_days).alias("label_days"),
+        F.lit(cfg.days).alias("label_days"),
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("ClientID").alias("clients"),
         F.count_distinct("ProductID").alias("products"),
         F.count_if(F.col("label") == 1).alias("positives"),
         F.count_if(F.col("label") == 0).alias("negatives"),
-        F.lit(float(cfg.negatives_per_pos)).alias("neg_per_pos"),
-        F.lit(cfg.hard_negatives).alias("hard_negatives"),
-        F.lit(cfg.pos_target).alias("pos_target"))
+        F.lit(float(cfg.negatives.per_positive)).alias("neg_per_pos"),
+        F.lit(cfg.negatives.order).alias("hard_negatives"),
+        F.lit(cfg.target).alias("pos_target"))
 
 
 def target_differences(ds: DataFrame, window: DataFrame, mode: str = "binary") -> DataFrame:
@@ -326,10 +326,10 @@ def target_differences(ds: DataFrame, window: DataFrame, mode: str = "binary") -
 # ---------------------------------------------------------------------------
 # L12-L15 split validation
 # ---------------------------------------------------------------------------
-def validate_split(ds: DataFrame, full: DataFrame, cfg: SplitCfg) -> DataFrame:
+def validate_split(ds: DataFrame, full: DataFrame, cfg: LabelledSplit) -> DataFrame:
     """L15 (+Q16, L12, L13, J10, Q17, L14) as one row.  History / window use
     the builder's own boundary rule (``<= cutoff`` / ``(cutoff, cutoff+D]``)."""
-    history, window = history_window(full, cfg.cutoff, cfg.label_days)
+    history, window = history_window(full, cfg.cutoff, cfg.days)
     pos = ds.where(F.col("label") == 1)
     neg = ds.where(F.col("label") == 0)
     win_pairs = window.select(*PAIR).distinct()
@@ -345,11 +345,11 @@ def validate_split(ds: DataFrame, full: DataFrame, cfg: SplitCfg) -> DataFrame:
     negs = neg.select(*PAIR).distinct()
     viol = negs.join(seen, PAIR, "left_semi").agg(F.count(F.lit(1)).cast("double").alias("neg_seen_violations"))
     checked = negs.agg(F.count_distinct("ClientID").cast("double").alias("clients_checked"))
-    if cfg.pos_target == "binary":
+    if cfg.target == "binary":
         tgt = pos.agg(F.count_if(F.col("target") != 1).cast("double").alias("target_mismatch_pairs"))
     else:
         truth = (window.groupBy(*PAIR).agg(
-            (F.count("txn_date") if cfg.pos_target == "count_txn" else F.coalesce(F.sum("Quantity"), F.lit(0)))
+            (F.count("txn_date") if cfg.target == "count_txn" else F.coalesce(F.sum("Quantity"), F.lit(0)))
             .alias("true_target")))
         tgt = (pos.join(truth, PAIR, "left")
                   .agg(F.count_if(~F.col("target").eqNullSafe(F.coalesce(F.col("true_target"), F.lit(0))))
@@ -370,7 +370,7 @@ def validate_split(ds: DataFrame, full: DataFrame, cfg: SplitCfg) -> DataFrame:
         row = row.crossJoin(part)  # every part is a single-row aggregate
     return row.select(
         F.lit(cfg.name).alias("split"), F.lit(cfg.cutoff).alias("cutoff"),
-        F.lit(float(cfg.label_days)).alias("label_days"), F.lit(cfg.pos_target).alias("pos_target"),
+        F.lit(float(cfg.days)).alias("label_days"), F.lit(cfg.target).alias("pos_target"),
         "rows", "clients", "products", "positives", "negatives", "pos_ratio",
         (F.col("pos_not_in_window") == 0).alias("pos_in_window_ok"), "pos_not_in_window",
         (F.col("neg_seen_violations") == 0).alias("neg_not_seen_ok"), "neg_seen_violations", "clients_checked",

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairrank.config import DESCRIBE_PERCENTILES
+from fairrank.config import DESCRIBE_PERCENTILES, WARNINGS
 from fairrank.functions.columns import is_numeric
 from fairrank.operators.dedupe import exact_duplicate_rows, key_duplicate_rows
 from fairrank.operators.order import exact_quantiles
@@ -116,9 +116,9 @@ def interactions_report(df: DataFrame) -> DataFrame:
     d1 = key_duplicate_rows(df, k1, "dup_rows_c_p_d_s")
     d2 = key_duplicate_rows(df, k2, "dup_rows_c_p_d")
     warnings = F.array_compact(F.array(
-        F.when(F.col("__neg_q") > 0, F.lit("Negative quantities detected.")),
-        F.when(F.col("__neg_a") > 0, F.lit("Negative net amounts detected.")),
-        F.when(F.col("__null_d") > 0.05, F.lit("More than 5% missing txn_date."))))
+        F.when(F.col("__neg_q") > 0, F.lit(WARNINGS["quantity"])),
+        F.when(F.col("__neg_a") > 0, F.lit(WARNINGS["amount"])),
+        F.when(F.col("__null_d") > 0.05, F.lit(WARNINGS["dates"]))))
     return (main.crossJoin(d1).crossJoin(d2)  # single-row parts
                 .withColumn("warnings", warnings).drop("__neg_q", "__neg_a", "__null_d"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairrank.config import (FALLBACK_AFFINITY, GENDER_CODE_EXPANSION, NON_FEATURE_COLUMNS,
-                             HybridWeights)
+                             SIGNAL_WEIGHTS)
 from fairrank.functions.columns import map_values, numeric_columns
 
 PAIR = ["ClientID", "ProductID"]
@@ -101,7 +101,7 @@ def hybrid_signals(candidates: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def score_hybrid_candidates(split: DataFrame, history: DataFrame,
-                            weights: HybridWeights = HybridWeights(),
+                            weights: dict[str, float] = SIGNAL_WEIGHTS,
                             exclude_seen: bool = True, model=None) -> DataFrame:
     """Affinity on the full split, then seen pairs removed, then the
     collaborative / content / popularity signals and the weighted blend."""
@@ -109,14 +109,10 @@ def score_hybrid_candidates(split: DataFrame, history: DataFrame,
     if exclude_seen:
         scored = exclude_seen_pairs(scored, history)
     scored = hybrid_signals(scored, history)
-    hybrid = (F.lit(weights.affinity) * F.col("affinity_score")
-              + F.lit(weights.collaborative) * F.col("collab_score")
-              + F.lit(weights.content) * F.col("content_score")
-              + F.lit(weights.popularity) * F.col("popularity_score"))
-    cols = [c for c in scored.columns if c not in ("affinity_score", "collab_score", "content_score",
-                                                   "popularity_score")]
-    return scored.select(*cols, "affinity_score", "collab_score", "content_score", "popularity_score",
-                         hybrid.alias("hybrid_score"))
+    signals = list(SIGNAL_WEIGHTS)
+    hybrid = sum((F.lit(weights[c]) * F.col(c) for c in signals[1:]), F.lit(weights[signals[0]]) * F.col(signals[0]))
+    cols = [c for c in scored.columns if c not in signals]
+    return scored.select(*cols, *signals, hybrid.alias("hybrid_score"))
 
 
 def top_k(scored: DataFrame, k: int = 10, score_col: str = "hybrid_score",

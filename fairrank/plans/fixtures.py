@@ -83,17 +83,10 @@ DOMAIN_CTES: list[tuple[str, str]] = [
            l.l_linenumber AS lnum
     FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey"""),
     ("transactions_raw", """
-    SELECT ClientID, ProductID, SaleTransactionDate, StoreID, Quantity, SalesNetAmountEuro
-    FROM txn_base
-    UNION ALL
-    SELECT ClientID, ProductID, SaleTransactionDate, StoreID, Quantity, SalesNetAmountEuro
-    FROM txn_base WHERE okey % 7 = 0
-    UNION ALL
-    SELECT ClientID, ProductID, SaleTransactionDate, StoreID, Quantity + 1, SalesNetAmountEuro
-    FROM txn_base WHERE okey % 11 = 0
-    UNION ALL
-    SELECT ClientID, ProductID, SaleTransactionDate, StoreID + 1000000, Quantity, SalesNetAmountEuro
-    FROM txn_base WHERE okey % 13 = 0 AND lnum = 1"""),
+    SELECT ClientID, ProductID, SaleTransactionDate, StoreID + CASE WHEN copy = 3 THEN 1000000 ELSE 0 END AS StoreID,
+           Quantity + CASE WHEN copy = 2 THEN 1 ELSE 0 END AS Quantity, SalesNetAmountEuro
+    FROM txn_base JOIN (VALUES (0), (1), (2), (3)) AS copies(copy)
+      ON copy = 0 OR (copy = 1 AND okey % 7 = 0) OR (copy = 2 AND okey % 11 = 0) OR (copy = 3 AND okey % 13 = 0 AND lnum = 1)"""),
     ("request_log", """
     SELECT ts AS timestamp_utc,
            event_type AS path,

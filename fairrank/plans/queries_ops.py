@@ -291,12 +291,12 @@ def _features(df):
 
 
 def _split_at(ctx: Context, name: str):
-    from fairrank.config import SplitCfg
+    from fairrank.config import LabelledSplit, Negatives
     from fairrank.operators import labels
     from fairrank.plans.queries_reco import NEG_PER_POS
     if name == "test":
         return _split(ctx)
-    cfg = SplitCfg(name, ctx.cutoffs.for_split(name), LABEL_DAYS, NEG_PER_POS, "pop_in_prefcat", "binary")
+    cfg = LabelledSplit(name, ctx.cutoffs.for_split(name), LABEL_DAYS, negatives=Negatives(NEG_PER_POS))
     return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg, ctx.features(cfg.cutoff)),
                                                           ctx.sf_dir, f"split_{name}"))
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from fairrank.config import RecommendCfg, SplitCfg
+from fairrank.config import LabelledSplit, Negatives, RecommendCfg
 from fairrank.operators import fairness, labels, ranking, scoring
 from fairrank.plans.pipeline import infer_cutoffs_frame
 from fairrank.plans.recommend import run_recommendations
@@ -22,8 +22,8 @@ NEG_PER_POS = 5
 TOP_K = 10
 
 
-def test_cfg(ctx: Context, mode: str = "pop_in_prefcat") -> SplitCfg:
-    return SplitCfg("test", ctx.cutoffs.test_end, LABEL_DAYS, NEG_PER_POS, mode, "binary")
+def test_cfg(ctx: Context, mode: str = "pop_in_prefcat") -> LabelledSplit:
+    return LabelledSplit("test", ctx.cutoffs.test_end, LABEL_DAYS, negatives=Negatives(NEG_PER_POS, mode))
 
 
 def _window(ctx: Context):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairrank.config import RecommendCfg, SplitCfg
+from fairrank.config import LabelledSplit, RecommendCfg
 from fairrank.operators import fairness, labels, ranking, scoring
 
 
@@ -46,7 +46,7 @@ class RecommendationRun:
                                             self.cfg.top_k)
 
 
-def run_recommendations(full: DataFrame, split_cfg: SplitCfg, cfg: RecommendCfg = RecommendCfg(),
+def run_recommendations(full: DataFrame, split_cfg: LabelledSplit, cfg: RecommendCfg = RecommendCfg(),
                         split: DataFrame | None = None, model=None) -> RecommendationRun:
     """R9 on one split; ``full`` is the (collapsed) interactions table."""
     split = split if split is not None else labels.build_split_dataset(full, split_cfg)

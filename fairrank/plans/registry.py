@@ -42,7 +42,8 @@ class Context:
 
     @property
     def canonical(self) -> dict[str, DataFrame]:
-        return self._memo("canonical", lambda: canonical_tables(self.domain))
+        return self._memo("canonical", lambda: {
+            name: materialize(df, self.sf_dir, f"canonical_{name}") for name, df in canonical_tables(self.domain).items()})
 
     @property
     def prepared(self):

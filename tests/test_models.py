@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from fairrank.config import HybridWeights
+from fairrank.config import SIGNAL_WEIGHTS
 from fairrank.operators import ml, scoring
 
 SF = "/root/testdata/sf0.001"
@@ -76,10 +76,9 @@ def test_ranked_feature_selection(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 def test_model_scored_lists_blend_and_order(spark):
-    w, per = HybridWeights(), {}
+    per = {}
     for r in E.queries()["model_recommendations"](spark, SF).collect():
-        blend = (w.affinity * r.affinity_score + w.collaborative * r.collab_score
-                 + w.content * r.content_score + w.popularity * r.popularity_score)
+        blend = sum(w * r[c] for c, w in SIGNAL_WEIGHTS.items())
         assert 0 <= r.affinity_score <= 1 and r.hybrid_score == pytest.approx(blend, abs=1e-5)
         per.setdefault(r.ClientID, []).append((r["rank"], r.hybrid_score))
     assert per
