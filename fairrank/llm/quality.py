@@ -75,11 +75,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         for b in batches:
             x = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(0)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(0), b.column(2)], ["x", "y", "h"])
 
     # at most max_rows small rows are broadcast
-    chosen = docs.join(F.broadcast(y), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
-    rows = chosen.mapInArrow(run, "x array<double>, y int").limit(2 * max_rows).collect()
+    chosen = docs.join(F.broadcast(y), "doc_id").select(F.col("y").cast("int").alias("y"), "text", F.xxhash64("doc_id", "text", "y").alias("h"))
+    rows = chosen.mapInArrow(run, "x array<double>, y int, h bigint")
+    rows = rows.orderBy("h", "y", "x").limit(max_rows).collect()  # by hash, where ids repeat in the documents
     rows.sort(key=lambda r: (r[1], r[0]))  # sums in one order: reruns give the same model
     return GAM().fit(np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES)),
                      np.array([r[1] for r in rows], float))
