@@ -36,7 +36,7 @@ PROJECTIONS = 128
 COLLISIONS = 102
 #: Half width of the first windows, as a multiple of a projection's standard deviation, and the
 #: factor from one to the next.
-FIRST_WINDOW, WIDEN = 1.2, 1.03
+FIRST_WINDOW, WIDEN = 1.4, 1.03
 #: Vectors of a block to verify before a query may stop, as a multiple of the root of its size.
 CANDIDATES = 2.0
 BLOCK_ROWS = 8_192
