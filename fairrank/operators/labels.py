@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairrank.config import PAIR_FILL_DEFAULTS, PRODUCT_IDENTITY, LabelledSplit
-from fairrank.functions.columns import clip_lower0, is_numeric
 from fairrank.operators import features as feats
 from fairrank.operators.order import global_rank, rank_within
 from fairrank.sources.tables import materialize
