@@ -4,7 +4,7 @@ Test split: history ``<= test_end``, label window ``(test_end, test_end + 30d]``
 5 negatives per positive; features from rows ``< test_end``.
 """
 
-from fairrank.plans.oracle import oracle
+from fairrank.plans.oracle import ORACLE, oracle
 from fairrank.plans.oracle_core import _user_features_sql
 
 K = 10
@@ -538,3 +538,16 @@ def _():
            u_null_share, p_null_share, cp_null_share, cat_null_share,
            pair_duplicates = 0 AS pair_unique_ok, pair_duplicates
     FROM v CROSS JOIN x"""
+
+
+def _every_split(name):
+    """The query of the test split for all three: an earlier split is the test split of earlier cutoffs."""
+    def at(split, days):
+        sql = ORACLE[name].replace("max(txn_date) - INTERVAL 30 DAY AS DATE) AS TIMESTAMP) AS test_end",
+                                   f"max(txn_date) - INTERVAL {days} DAY AS DATE) AS TIMESTAMP) AS test_end")
+        return "SELECT * FROM (" + sql.replace("'test' AS split", f"'{split}' AS split") + ")"
+    ORACLE[name] = "\nUNION ALL\n".join(at(s, d) for s, d in (("train", 90), ("val", 60), ("test", 30)))
+
+
+_every_split("split_summary")
+_every_split("split_validation")

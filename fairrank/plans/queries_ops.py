@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fairrank.config import RecommendCfg
 from fairrank.operators import cooccur, curves, dedupe, fairness, features, monitoring, quality, scoring
-from fairrank.plans.queries_reco import LABEL_DAYS, _focus_run, _run, _split, _window
+from fairrank.plans.queries_reco import LABEL_DAYS, _focus_run, _run, _split, _split_at, _window
 from fairrank.plans.pipeline import canonical_tables, interactions_from_canonical
 from fairrank.plans.recommend import run_recommendations
 from fairrank.plans.registry import Context, query
@@ -290,17 +290,6 @@ def _features(df):
     return scoring.select_feature_columns(df)
 
 
-def _split_at(ctx: Context, name: str):
-    from fairrank.config import LabelledSplit, Negatives
-    from fairrank.operators import labels
-    from fairrank.plans.queries_reco import NEG_PER_POS
-    if name == "test":
-        return _split(ctx)
-    cfg = LabelledSplit(name, ctx.cutoffs.for_split(name), LABEL_DAYS, negatives=Negatives(NEG_PER_POS))
-    return ctx._memo(f"split_{name}", lambda: materialize(labels.build_split_dataset(ctx.history, cfg, ctx.features(cfg.cutoff)),
-                                                          ctx.sf_dir, f"split_{name}"))
-
-
 @query("grouped_folds")
 def q_folds(ctx: Context):
     """M9: 3 grouped folds over the test split (property: a client never spans folds)."""

@@ -22,17 +22,38 @@ NEG_PER_POS = 5
 TOP_K = 10
 
 
+SPLITS = ("train", "val", "test")
+
+
+def split_cfg(ctx: Context, name: str, mode: str = "pop_in_prefcat") -> LabelledSplit:
+    return LabelledSplit(name, ctx.cutoffs.for_split(name), LABEL_DAYS, negatives=Negatives(NEG_PER_POS, mode))
+
+
 def test_cfg(ctx: Context, mode: str = "pop_in_prefcat") -> LabelledSplit:
-    return LabelledSplit("test", ctx.cutoffs.test_end, LABEL_DAYS, negatives=Negatives(NEG_PER_POS, mode))
+    return split_cfg(ctx, "test", mode)
 
 
 def _window(ctx: Context):
     return labels.history_window(ctx.history, ctx.cutoffs.test_end, LABEL_DAYS)
 
 
+def _split_at(ctx: Context, name: str):
+    cfg = split_cfg(ctx, name)
+    return ctx._memo(f"split_{name}", lambda: materialize(
+        labels.build_split_dataset(ctx.history, cfg, ctx.features(cfg.cutoff)), ctx.sf_dir, f"split_{name}"))
+
+
 def _split(ctx: Context):
-    return ctx._memo("split_test", lambda: materialize(
-        labels.build_split_dataset(ctx.history, test_cfg(ctx), ctx.features(ctx.cutoffs.test_end)), ctx.sf_dir, "split_test"))
+    return _split_at(ctx, "test")
+
+
+def _each_split(ctx: Context, report):
+    """The rows of ``report(split rows, settings)`` for all three splits."""
+    out = None
+    for name in SPLITS:
+        r = report(_split_at(ctx, name), split_cfg(ctx, name))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _run(ctx: Context):
@@ -118,14 +139,14 @@ def q_split(ctx: Context):
 
 @query("split_summary")
 def q_split_summary(ctx: Context):
-    """Q18: label-sampling summary of the test split."""
-    return labels.split_dataset_summary(_split(ctx), test_cfg(ctx))
+    """Q18: label-sampling summaries of the three splits."""
+    return _each_split(ctx, labels.split_dataset_summary)
 
 
 @query("split_validation")
 def q_split_validation(ctx: Context):
-    """Split validation row (positives in window, negatives unseen, ...)."""
-    return labels.validate_split(_split(ctx), ctx.history, test_cfg(ctx))
+    """A validation row per split (positives in window, negatives unseen, ...)."""
+    return _each_split(ctx, lambda ds, cfg: labels.validate_split(ds, ctx.history, cfg))
 
 
 # --- scoring / fairness -------------------------------------------------------
