@@ -28,7 +28,7 @@ from fairrank.llm.common import pick, staged
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
-#: Rules become one expression; more of them would need a join.
+#: So many rules become one expression; more of them are joined by the suffixes of hosts.
 MAX_RULES = 500
 DAMPING = 0.85
 #: Mass falls by the damping at each step: enough for a hundred million seeds.
@@ -50,9 +50,7 @@ def path_of(url: Column) -> Column:
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; this filter takes {MAX_RULES} at most")
+    """(rule, verdict) of the longest rule that fits, the first of equally long ones; null if none does."""
     rule = verdict = None
     for action, text in sorted(rules, key=lambda r: -len(r[1])):
         name, _, rest = text.partition("/")
@@ -63,6 +61,23 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return (none, none) if rule is None else (rule, verdict)
 
 
+def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """The pages (host, path and more) with rule and ruled."""
+    if len(rules) <= MAX_RULES:
+        rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
+        return pages.withColumn("rule", rule).withColumn("ruled", ruled)
+    parts = [(text.partition("/")[0], "/" + text.partition("/")[2], text, action, -i) for i, (action, text) in enumerate(rules)]
+    table = pages.sparkSession.createDataFrame(parts, "name string, start string, rule string, ruled string, nth int")
+    # the host and every domain above it; a page's address is looked up once
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    spots = pages.select("host", "path").distinct().withColumn("name", F.explode(above))
+    fits = spots.join(table, "name").where(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "ruled"), F.struct(F.length("rule"), "nth")).alias("b"))
+    best = staged(best.select(F.col("host").alias("h"), F.col("path").alias("p"), "b.rule", "b.ruled"), "ruled-addresses")
+    return pages.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").drop("h", "p")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) between different hosts, from absolute links of (host, html)."""
     links = pages.where((F.col("host") != "") & F.col("html").contains("//")).select(
@@ -107,8 +122,7 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     """(page_id, host, path, rule, verdict, trust, distrust) per page."""
     p = pick(pages, ["page_id", "url", "html"])
     p = p.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
-    p = p.withColumn("rule", rule).withColumn("ruled", ruled)
+    p = with_rules(p, rules)
     hosts = staged(p.where("host != ''").groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"),
         F.count_if(F.col("ruled") == "block").alias("bad")), "hosts")

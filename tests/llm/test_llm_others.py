@@ -202,6 +202,18 @@ def test_rules_and_parts(spark):
     assert url_filter.judge_pages(df.where("false")).count() == 0
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    names = ["com", "net", "a.com", "b.a.com", "x.net", "c.b.a.com", "xa.com"]
+    rules = [("allow" if r.random() < 0.5 else "block", f"{r.choice(names)}/{r.choice(['', 'en/', 'en/x', 'fr/'])}") for _ in range(40)]
+    rules += [("block", f"host{i}.org/p{i % 3}/") for i in range(600)]
+    hosts = [*names, "z.c.b.a.com", "axa.com", "", "host7.org", "www.host8.org", "host99999.org", "A"]
+    pages = spark.createDataFrame([(h, p, i) for i, h in enumerate(hosts) for p in ("", "/", "/en/", "/en/xy", "/fr", "/p1/q", "/p2/")], "host string, path string, n int")
+    joined = rows(url_filter.with_rules(pages.union(pages), rules))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 10_000)
+    assert joined == rows(url_filter.with_rules(pages.union(pages), rules)) and len({x[3] for x in joined}) > 10
+
+
 def test_propagation_against_power_iteration(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "d"), ("b", "e")]
     names = sorted({x for e in edges for x in e})
