@@ -58,6 +58,15 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column], out: str) ->
             .withColumn(out, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__g", "__first"))
 
 
+def cuts_upto(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(float(c)) for c in cuts])
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def exact_quantiles(values: DataFrame, probs: Sequence[float], out: str = "q") -> DataFrame:
     """(grp, n, ``out`` array): quantiles with linear interpolation, as ``percentile`` gives them.
 

@@ -57,3 +57,10 @@ def test_empty_and_single(spark):
     assert [(r.grp, r.n, r.q) for r in order.exact_quantiles(one, (0.25, 0.5)).collect()] == [("a", 1, [4.0, 4.0])]
     assert order.global_rank(one, [F.col("grp")]).orderBy("rank").select("grp", "rank").collect() == [("a", 1), ("b", 2)]
     assert order.rank_within(none, "grp", [F.col("value")], "r").collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 100])
+def test_binary_search_of_cuts(spark, n):
+    cuts = sorted({i * 7919 % 1000 / 10 for i in range(n)})
+    got = spark.range(1000).select((F.col("id") / 10 - 1).alias("v")).select("v", order.cuts_upto(F.col("v"), cuts).alias("k")).collect()
+    assert all(r.k == sum(c <= r.v for c in cuts) for r in got)
