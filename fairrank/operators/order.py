@@ -91,5 +91,5 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], out: str = "q") -
     q = []
     for x in place:
         low, high = F.element_at("at", F.floor(x)), F.element_at("at", F.ceil(x))
-        q.append(low + (high - low) * (x - F.floor(x)))
+        q.append(F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high))
     return found.select(F.col("g").alias("grp"), F.col("total").alias("n"), F.array(*q).alias(out))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairrank.operators.monitoring import LOG_SCHEMA
+from fairrank.operators.order import exact_quantiles
 
 
 def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -34,15 +35,20 @@ def windowed_path_stats(log: DataFrame, window: str = "1 hour", watermark: str =
     instead of every latency."""
     ts = F.col("timestamp_utc").cast("timestamp")
     df = log.withColumn("event_time", ts).withWatermark("event_time", watermark)
-    pct = ((lambda p: F.percentile("latency_ms", p)) if exact_percentiles
-           else (lambda p: F.percentile_approx("latency_ms", p, 10000).cast("double")))
-    return (df.groupBy(F.window("event_time", window).alias("w"), "path")
-              .agg(F.count(F.lit(1)).alias("requests"),
-                   F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"),
-                   pct(0.5).alias("p50_latency_ms"), pct(0.95).alias("p95_latency_ms"))
-              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                      "path", "requests", "error_rate", "p50_latency_ms", "p95_latency_ms"))
+    counts = (F.count(F.lit(1)).alias("requests"), F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    if exact_percentiles and not log.isStreaming:
+        # a busy path's latencies are not gathered: places in the global order
+        cells = df.select(F.window("event_time", window).alias("w"), "path", "status_code", F.col("latency_ms").cast("double").alias("value"))
+        q = exact_quantiles(cells.select(F.struct("w", "path").alias("grp"), "value"), (0.5, 0.95))
+        out = cells.groupBy("w", "path").agg(*counts).join(q, F.struct("w", "path").eqNullSafe(F.col("grp")), "left")
+        out = out.withColumns({"p50_latency_ms": F.col("q")[0], "p95_latency_ms": F.col("q")[1]})
+    else:
+        pct = ((lambda p: F.percentile("latency_ms", p)) if exact_percentiles
+               else (lambda p: F.percentile_approx("latency_ms", p, 10000).cast("double")))
+        out = df.groupBy(F.window("event_time", window).alias("w"), "path").agg(
+            *counts, pct(0.5).alias("p50_latency_ms"), pct(0.95).alias("p95_latency_ms"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                      "path", "requests", "error_rate", "p50_latency_ms", "p95_latency_ms")
 
 
 def _batch_path(out: str, what: str, batch: int) -> str:
