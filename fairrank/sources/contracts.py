@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,16 +222,17 @@ def ingest_with_quarantine(df: DataFrame, contract: Contract, path: str) -> tupl
     """One pass writes all rows below ``path``, valid ones and rejected ones apart.
 
     Returns the valid rows under the contract's types, the rejected rows (the same columns, their
-    violations and the text as it came) and the counts seen while writing."""
+    violations and the text as it came) and the counts of what was written."""
     out = df.select(*_coercions(df, contract), violations(df, contract).alias("violations"),
                     F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])).alias("as_read"))
     out = out.withColumn("rejected", (F.size("violations") > 0).cast("int"))
-    seen = Observation()
-    (out.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"))
-        .write.mode("overwrite").partitionBy("rejected").parquet(path))
+    # (no Observation: a session that has made one can't ship Spark ML's forests to tasks any more)
+    out.write.mode("overwrite").partitionBy("rejected").parquet(path)
     stored = df.sparkSession.read.schema(out.schema).parquet(path)
+    n = {r["rejected"]: r["count"] for r in stored.groupBy("rejected").count().collect()}  # two rows at most
     valid = stored.where("rejected = 0").select(*df.columns)
-    return valid, stored.where("rejected = 1").select(*df.columns, "violations", "as_read"), seen.get
+    return valid, stored.where("rejected = 1").select(*df.columns, "violations", "as_read"), {
+        "rows": sum(n.values()), "rejected": n.get(1, 0)}
 
 
 def ingest_to_parquet(df: DataFrame, out_path: str) -> None:
