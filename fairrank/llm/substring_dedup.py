@@ -8,7 +8,7 @@ has the same pieces but for those at its edges.  A piece of more than ``MAX_WORD
 text has no least hashes) is cut at every ``MAX_WORDS``-th.
 
 A run is ``SPAN`` consecutive pieces, or as many more as it takes to have ``MIN_WORDS`` words.  Every
-run is hashed (XXH3, 128 bits, over its words).  Runs are joined globally by hash; every piece
+run is hashed (96 bits of XXH3 over its words: chance equality of two among 10^10 is below 10^-8).  Runs are joined globally by hash; every piece
 covered by an occurrence other than the first, by (document id, null last; text hash; position),
 is removed.
 
@@ -125,7 +125,10 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pieces_removed and words_removed (bigint)."""
     small_batches(documents.sparkSession)
     flat, at = positional(documents)
-    flat = flat.withColumn("_th", F.xxhash64(at[text_col]))
+    # what tells documents of one id apart; a constant, which takes no room, where ids alone do
+    ids = flat.groupBy(at[id_col]).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(at[id_col]).isNull())
+    th = F.lit(0).cast("bigint") if ids.isEmpty() else F.xxhash64(at[text_col])
+    flat = flat.withColumn("_th", th)
     id_type = flat.schema[at[id_col]].dataType.simpleString()
 
     def emit(batches):
@@ -137,15 +140,16 @@ def dedup_substrings(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 counts.append(len(mine))
                 digests += mine
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            h2 = (h[:, 1] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
             rows = pa.array(np.repeat(np.arange(len(counts)), counts))
             starts = np.concatenate([np.zeros(0, np.int32), *[np.arange(c, dtype=np.int32) for c in counts]])
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(rows), b.column(1).take(rows), pa.array(starts, pa.int32()),
-                pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
+                pa.array(np.ascontiguousarray(h[:, 0])), pa.array(h2)],
                 ["_id", "_th", "_pos", "_h", "_h2"])
 
     spans = flat.select(at[id_col], "_th", at[text_col]).mapInArrow(
-        emit, f"_id {id_type}, _th bigint, _pos int, _h bigint, _h2 bigint")
+        emit, f"_id {id_type}, _th bigint, _pos int, _h bigint, _h2 int")
     spans = staged(spans, "spans")
     # first the hashes that repeat at all, a few bytes a run, then only their occurrences
     # (a written table next to a join lets Spark split a hot hash; an aggregate there does not)
