@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from fairrank.operators import cooccur, labels, ml, monitoring, quality, ranking, scoring
-from fairrank.plans.queries_ops import _as_of, _catalog, _log, _report_history, _split_at, q_cart_recs, q_gates, transactions_csv
-from fairrank.plans.queries_reco import LABEL_DAYS, TOP_K, _run, _split
+from fairrank.plans.queries_ops import _as_of, _catalog, _log, _report_history, q_cart_recs, q_gates, transactions_csv
+from fairrank.plans.queries_reco import LABEL_DAYS, TOP_K, _run, _split, _splits
 from fairrank.plans.registry import Context, query
 from fairrank.sources.contracts import CONTRACTS, coerce_bool, ingest_with_quarantine
 from fairrank.sources.tables import table_path
@@ -42,10 +42,10 @@ def q_gate_outcome(ctx: Context):
 def q_target_audit(ctx: Context):
     """The binary targets of the three splits against the targets of all three modes."""
     out = None
-    for name in ("train", "val", "test"):
+    for name, rows in _splits(ctx).items():
         window = labels.history_window(ctx.history, ctx.cutoffs.for_split(name), LABEL_DAYS)[1]
         for mode in MODES:
-            r = labels.target_differences(_split_at(ctx, name), window, mode)
+            r = labels.target_differences(rows, window, mode)
             r = r.select(F.lit(name).alias("split"), F.lit(mode).alias("mode"), "*")
             out = r if out is None else out.unionByName(r)
     return out
