@@ -22,8 +22,10 @@ def test_a_fold_is_binned_once(spark, tmp_path, monkeypatch):
     plain, fit = boosting.binned_rows, ml.fit_model
     monkeypatch.setattr(boosting, "binned_rows", lambda df, features, *a: made.append(list(features)) or plain(df, features, *a))
     monkeypatch.setattr(ml, "fit_model", lambda kind, df, features, **k: begun.append((len(features), k["side_by_side"])) or fit(kind, df, features, **k))
-    monkeypatch.setattr(ml, "WORKERS", 1)
+    names, run = [], ml.run_trials
+    monkeypatch.setattr(ml, "run_trials", lambda spark, path, trials: names.extend(trials) or run(spark, path, trials))
     curve = ml.topk_feature_curve(table(spark), list("abcd"), ks=[1, 2, 4], folds=2, path=str(tmp_path / "curve"), maxIter=3, maxDepth=2)
     assert sorted(r.k for r in curve.collect()) == [1, 2, 4]
     assert made == [list("abcd")] * 2
-    assert sorted(k for k, _ in begun) == [1, 1, 2, 2, 4, 4] and begun[0][0] == 4
+    assert sorted(begun) == [(k, 6) for k in (1, 1, 2, 2, 4, 4)]
+    assert [n.split(",")[0] for n in names] == ["k=004"] * 2 + ["k=002"] * 2 + ["k=001"] * 2
